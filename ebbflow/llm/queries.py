@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, quality
+from . import exact, near, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_components(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -24,6 +28,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
 }
@@ -82,4 +87,22 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """
 
-ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+OP3_SQL = rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT rid, h FROM (
+    SELECT rid, hash(array_to_string(ws[i:i + 4], ' ')) AS h FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)
+    UNION ALL SELECT rid, hash(array_to_string(ws, ' ')) FROM d WHERE len(ws) BETWEEN 1 AND 4)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+pairs AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.rid <> b.rid GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT dx.doc_id AS x, dy.doc_id AS y FROM pairs JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y JOIN d dx ON dx.rid = x JOIN d dy ON dy.rid = y
+  WHERE 100 * k >= 75 * (nx.n + ny.n - k)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, low.component_id, d.doc_id = low.component_id AS kept
+FROM d LEFT JOIN n USING (rid) JOIN low ON low.x = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_minhash_near_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op9_exact_dedup": OP9_SQL}
