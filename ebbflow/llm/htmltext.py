@@ -5,8 +5,8 @@ id over the whole cluster, and each is aligned with the page before and after it
 longest common subsequence of line hashes. Shared lines are template text and are deleted:
 
 * outside a main container (``article``, ``main``, ``role=main``), lines shared with either neighbour;
-* inside one, lines shared with both, since a passage that two neighbouring articles have in common
-  (a licence line, a quotation) is article text;
+* inside one, lines shared with both that are so shared on most pages of the host (``main_rate``), since
+  a passage that some neighbouring articles have in common (a licence line, a quotation) is article text;
 * nothing on account of a neighbour that shares more than half of the page's text: mirrors and
   near copies of an article say nothing about the template.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_side, written
@@ -209,42 +209,64 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row and the one before it on its host: (row_key, lines it shares with the row before / after)."""
+    """For each row and the one before it on its host: (row_key, host, lines shared with the row before / after)."""
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("h", pa.int64())]))
     for batch in batches:
-        keys, before, after = [], [], []
+        keys, hosts, before, after = [], [], [], []
         for row in batch.to_pylist():
             if row["prev_row_key"] is None or row["prev_host"] != row["host"] or not row["hashes"] or not row["prev_hashes"]:
                 continue
             pairs = shared(row["prev_hashes"], row["hashes"])
-            for side, own, sizes, key in ((1, before, row["sizes"], row["row_key"]), (0, after, row["prev_sizes"], row["prev_row_key"])):
-                at = [p[side] for p in pairs]
+            for side, of in ((1, ""), (0, "prev_")):
+                at, sizes = [p[side] for p in pairs], row[of + "sizes"]
                 if at and 2 * sum(sizes[k] for k in at) <= sum(sizes):
-                    keys.append(key)
-                    before.append(at if own is before else [])
-                    after.append(at if own is after else [])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(before, pa.list_(pa.int32())), pa.array(after, pa.list_(pa.int32()))], ["row_key", "before", "after"])
+                    found = [{"i": k, "h": row[of + "hashes"][k]} for k in at]
+                    keys.append(row[of + "row_key"])
+                    hosts.append(row["host"])
+                    before.append(found if side else [])
+                    after.append([] if side else found)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(before, kind), pa.array(after, kind)], ["row_key", "host", "before", "after"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for page, before, after in zip(batch.column("html").to_pylist(), batch.column("before").to_pylist(), batch.column("after").to_pylist(), strict=True):
+        for page, outside, inside in zip(batch.column("html").to_pylist(), batch.column("outside").to_pylist(), batch.column("inside").to_pylist(), strict=True):
             ls = lines(page or "")
             has_main = any(main for _, main in ls)
-            before, after = set(before or ()), set(after or ())
-            either, both = before | after, before & after
-            texts.append(" ".join(t for k, (t, main) in enumerate(ls) if (main or not has_main) and k not in (both if main else either)))
+            gone = {False: set(outside or ()), True: set(inside or ())}
+            texts.append(" ".join(t for k, (t, main) in enumerate(ls) if (main or not has_main) and k not in gone[main]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 100_000) -> DataFrame:
-    """A row per page: page_id, url, main text, its code points."""
-    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+
+
+def host_sizes(pages: DataFrame, url: Column) -> DataFrame:
+    return pages.groupBy(_host(url).alias("host")).agg(F.count("*").alias("n_pages"))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", main_rate: float = 0.6, least_pages: int = 5, broadcast_rows: int = 100_000) -> DataFrame:
+    """A row per page: page_id, url, main text, its code points.
+
+    Rows of line positions for broadcast are a few dozen bytes each; above ``broadcast_rows`` of them
+    the pages are joined by shuffle.
+    """
+    url = F.coalesce(F.col("url"), F.lit(""))
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).withColumn("row_key", F.xxhash64("page_id", "url", "html"))
-    keyed = slim.select(F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"), "page_id", "row_key", "html")
+    keyed = slim.select(_host(url).alias("host"), F.regexp_extract(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"), "page_id", "row_key", "html")
     hashed = keyed.mapInArrow(_line_hashes, "host string, path string, page_id long, row_key long, hashes array<long>, sizes array<int>")
     pairs = with_previous(hashed, ["host", "path", "page_id", "row_key"], ["host", "row_key", "hashes", "sizes"])
-    found = pairs.mapInArrow(_shared_lines, "row_key long, before array<int>, after array<int>")
-    by_row = written(found.groupBy(F.col("row_key").alias("s_key")).agg(F.max("before").alias("before"), F.max("after").alias("after")), "shared_lines")
-    joined = slim.join(small_side(by_row, by_row.count(), broadcast_rows), slim["row_key"] == by_row["s_key"], "left")
-    return joined.select("page_id", "url", "html", "before", "after").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    kind = "array<struct<i: int, h: long>>"
+    found = pairs.mapInArrow(_shared_lines, f"row_key long, host string, before {kind}, after {kind}")
+    by_row = written(found.groupBy("row_key", "host").agg(F.max("before").alias("before"), F.max("after").alias("after")), "shared_lines")
+    # template lines of a host: shared with both neighbours on most of its pages
+    sizes = host_sizes(slim, url).where(F.col("n_pages") >= least_pages)
+    lines_of = by_row.select("host", F.explode(F.array_intersect("before", "after")).alias("x")).groupBy("host", F.col("x.h").alias("h")).agg(F.count("*").alias("n"))
+    template = lines_of.join(sizes, "host").where(F.col("n") >= main_rate * F.col("n_pages")).groupBy("host").agg(F.collect_set("h").alias("template"))
+    either = F.array_distinct(F.concat(F.transform("before", lambda x: x["i"]), F.transform("after", lambda x: x["i"])))
+    inside = F.transform(F.filter(F.array_intersect("before", "after"), lambda x: F.array_contains("template", x["h"])), lambda x: x["i"])
+    gone = written(by_row.join(template, "host", "left").select(F.col("row_key").alias("s_key"), either.alias("outside"), inside.alias("inside")), "gone_lines")
+    joined = slim.join(small_side(gone, gone.count(), broadcast_rows), slim["row_key"] == gone["s_key"], "left")
+    return joined.select("page_id", "url", "html", "outside", "inside").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
