@@ -7,6 +7,7 @@ only where that setting is absent (single-process tests) a folder of our own is
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized(df: DataFrame, rows: int, per_partition: int = 250_000) -> DataFrame:
+    """``df`` in as few partitions as its counted rows need: small tables of an iteration would
+    otherwise leave one file per map task and shuffle partition on disk."""
+    return df.coalesce(max(1, -(-rows // per_partition)))
+
+
+def compact(df: DataFrame, per_partition: int = 250_000) -> DataFrame:
+    """Checkpoints ``df``, then as ``sized``."""
+    df = checkpointed(df)
+    return sized(df, df.count(), per_partition)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffles of finished stages now, not when the driver next collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver program ends."""
     path = f"{shared_dir(spark)}/ebbflow/{name}-{uuid.uuid4().hex}"
@@ -65,8 +84,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and keeps Arrow batches of long texts small: rows and bytes per batch bound
+    what a Python worker and the JVM beside it hold at once."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

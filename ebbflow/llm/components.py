@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, compact, release, sized
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,12 +34,16 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(edges)
     for _ in range(most_rounds):
-        edges = checkpointed(_small_star(_large_star(edges)))
+        larger = compact(_large_star(sized(edges, before[0])))
+        edges = checkpointed(_small_star(larger))
         after = state(edges)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError("components did not settle")
-    stars = edges.groupBy("u").agg(F.min("v").alias("component"))
-    return stars.select(F.col("u").alias("node"), "component").unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    stars = sized(edges, before[0]).groupBy("u").agg(F.min("v").alias("component"))
+    both = stars.select(F.col("u").alias("node"), "component").unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    done = compact(both)
+    release(links.sparkSession)
+    return done

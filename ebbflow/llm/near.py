@@ -7,11 +7,14 @@
 3. Per band bucket every member is paired with the bucket's smallest id. Pairs whose collision-corrected
    similarity (bit counts of the packed signatures) lies far below the threshold are dropped: ``margin``
    is six standard deviations of that estimate. The rest are confirmed on full shingle sets.
-4. Components of the confirmed links. A bucket whose members are all in one component is done. In the
-   others, members outside the bucket's largest component meet all members of other components; the
-   bit-count test is part of that join's condition, so only near pairs leave it. They are confirmed
-   likewise. After this every candidate pair is confirmed, refuted or already connected, and
-   components are taken once more: no cap on buckets or partners anywhere.
+4. Components of the confirmed links. A group (a bucket's smallest id and all it was paired with) whose
+   members are all in one component is done. In the others two more pivots a round, drawn by hash from
+   the largest component and from the rest, meet the members of other components (``pivot_rounds``).
+5. What still spans components is settled exactly: in each such group the members outside the largest
+   component meet all members of other components in a join whose condition holds the bit-count test
+   and then the full-set test, so refuted pairs never become rows. The join's buffered side is cut
+   into blocks of ``block`` members. After this every candidate pair is confirmed, refuted or already
+   connected; there is no cap on groups or partners.
 
 With ``rows_per_band`` 5 and 40 bands, a pair at similarity 0.75 shares no band with probability 2e-5.
 Edge cases: null or blank text has an empty set, linked with nothing; a text of fewer than five
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_side, written
+from .common import checkpointed, compact, small_side, written
 from .components import connected_components
 from .wordhash import chunks, mix64, shingle_sets
 
@@ -45,6 +48,8 @@ class NearConfig:
     bands: int = 40
     rows_per_band: int = 5
     margin: float = 0.19
+    pivot_rounds: int = 1
+    block: int = 512
     seed: int = 20240229
     broadcast_rows: int = 2_000_000  # ids of documents to confirm: 16 MB at most, else a shuffle join
 
@@ -141,24 +146,71 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             at += c.rows
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, cfg: NearConfig) -> DataFrame:
-    """Of ``pairs`` (id, hub), the links (u, v) whose full shingle sets reach the threshold.
+def shingle_rows(docs: DataFrame, wanted: DataFrame, cfg: NearConfig) -> DataFrame:
+    """(doc_id, hub, shingles): the full set of each document named by ``wanted`` (id, hub), once per hub.
 
-    ``docs``: (doc_id, text). A document's set is hashed anew from its text, and travels once per hub
-    that it is held against; a hub's own set travels once and meets its members by a join on the hub.
+    Sets are hashed anew from the texts; a document has at most one hub per band.
     """
-    wanted = pairs.groupBy(F.col("id").alias("w_id")).agg(F.collect_set("hub").alias("hubs"))
-    own = pairs.select(F.col("hub").alias("w_id")).distinct().select("w_id", F.array().cast("array<long>").alias("hubs"))
-    wanted = checkpointed(wanted.unionByName(own).groupBy("w_id").agg(F.flatten(F.collect_list("hubs")).alias("hubs"), F.max(F.size("hubs") == 0).alias("is_hub")))
-    rows = wanted.select(F.col("w_id"), F.when(F.col("is_hub"), F.concat("hubs", F.array("w_id"))).otherwise(F.col("hubs")).alias("hubs"))
+    rows = compact(wanted.groupBy(F.col("id").alias("w_id")).agg(F.collect_set("hub").alias("hubs")))
     texts = docs.join(small_side(rows, rows.count(), cfg.broadcast_rows), docs["doc_id"] == rows["w_id"]).select("doc_id", "text", "hubs")
     sets = texts.mapInArrow(lambda it: _sets(it, cfg.words), "doc_id long, hubs array<long>, shingles array<long>")
-    sent = sets.select("doc_id", F.explode("hubs").alias("hub"), "shingles")
-    members = sent.where("doc_id <> hub")
+    return sets.select("doc_id", F.explode("hubs").alias("hub"), "shingles")
+
+
+def _reaches(a: str, b: str, cfg: NearConfig) -> Column:
+    inter = F.size(F.array_intersect(a, b))
+    return 100 * inter >= cfg.percent * (F.size(a) + F.size(b) - inter)
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, cfg: NearConfig) -> DataFrame:
+    """Of ``pairs`` (id, hub), the links (u, v) whose full shingle sets reach the threshold.
+
+    A member's set travels once per hub that it is held against; a hub's own set travels once.
+    """
+    own = pairs.select(F.col("hub").alias("id"), "hub").distinct()
+    sent = shingle_rows(docs, pairs.unionByName(own), cfg)
     hubs = sent.where("doc_id = hub").select(F.col("hub").alias("h"), F.col("shingles").alias("h_shingles"))
-    inter = F.size(F.array_intersect("shingles", "h_shingles"))
-    union = F.size("shingles") + F.size("h_shingles") - inter
-    return members.join(hubs, members["hub"] == hubs["h"]).where(100 * inter >= cfg.percent * union).select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
+    met = sent.where("doc_id <> hub").join(hubs, F.col("hub") == F.col("h"))
+    return met.where(_reaches("shingles", "h_shingles", cfg)).select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
+
+
+def _open_groups(groups: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows of the groups that span components, with ``comp`` and the group's largest component ``main``."""
+    labelled = groups.join(components, groups["id"] == components["node"], "left").select(*groups.columns, F.coalesce("component", "id").alias("comp"))
+    parts = labelled.groupBy("hub", "comp").agg(F.count("*").alias("n"))
+    spans = parts.groupBy(F.col("hub").alias("g_hub")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("group_rows")).where("lo < hi").drop("lo", "hi")
+    return labelled.join(spans, F.col("hub") == F.col("g_hub")).drop("g_hub")
+
+
+def _pivot_pairs(opened: DataFrame, salt: int, cfg: NearConfig) -> DataFrame:
+    """(id, hub): members against two pivots of their group, one inside and one outside its largest component."""
+    drawn = F.struct(F.xxhash64("id", F.lit(salt)).alias("order"), "id", "comp", "n", "sig")
+    pivots = opened.groupBy(F.col("hub").alias("p_hub"), (F.col("comp") == F.col("main")).alias("inside")).agg(F.min(drawn).alias("p"))
+    met = opened.join(pivots, (F.col("hub") == F.col("p_hub")) & (F.col("comp") != F.col("p.comp")))
+    near = met.select("id", "n", "sig", F.col("p.id").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.sig").alias("p_sig")).where(_possible(cfg, "n", "p_n", "sig", "p_sig"))
+    return near.select(F.greatest("id", "pivot").alias("id"), F.least("id", "pivot").alias("hub")).distinct()
+
+
+def _blocks(rows: DataFrame, cfg: NearConfig) -> DataFrame:
+    return rows.withColumn("blocks", F.ceil(F.col("group_rows") / cfg.block).cast("int"))
+
+
+def _settle(docs: DataFrame, opened: DataFrame, cfg: NearConfig) -> DataFrame:
+    """The remaining links of groups that span components: exact, without a row per refuted pair."""
+    blocked = _blocks(opened, cfg)
+    minor = blocked.where("comp <> main").select(F.col("hub").alias("a_hub"), F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a_block"))
+    others = blocked.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    same = (F.col("a_hub") == F.col("hub")) & (F.col("a_block") == F.col("block"))
+    apart = (F.col("a_comp") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("id")))
+    maybe = same & apart & _possible(cfg, "a_n", "n", "a_sig", "sig")
+    likely = compact(minor.join(others, maybe, "left_semi").select(F.col("a_hub").alias("hub"), F.col("a").alias("id")).distinct())
+    live = likely.select("hub").distinct()
+    rows = compact(others.join(live, "hub", "left_semi"))
+    sets = shingle_rows(docs, rows.select("id", "hub"), cfg).select(F.col("doc_id").alias("s_id"), F.col("hub").alias("s_hub"), "shingles")
+    full = rows.join(sets, (F.col("id") == F.col("s_id")) & (F.col("hub") == F.col("s_hub"))).drop("s_id", "s_hub")
+    a = full.join(likely, ["hub", "id"], "left_semi").select(F.col("hub").alias("a_hub"), F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"), F.col("shingles").alias("a_shingles"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a_block"))
+    met = a.join(full, maybe & _reaches("a_shingles", "shingles", cfg))
+    return met.select(F.greatest("a", "id").alias("u"), F.least("a", "id").alias("v")).distinct()
 
 
 def near_components(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,30 +221,24 @@ def near_components(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     reps = classes.where("rep IS NOT NULL").withColumnRenamed("rep", "doc_id")
     nodes = written(marks.join(reps, ["doc_id", "n_shingles", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "signature"), "nodes")
 
-    # members of buckets that hold more than one node, with the bucket's smallest id
+    # each member of a bucket of two or more, beside the bucket's smallest id
     rows = nodes.select("id", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub")
-    members = written(rows.join(buckets, "bucket"), "members")
-
-    marks_of = lambda side: nodes.select(F.col("id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
-    stars = members.where("id <> hub").select("id", "hub").distinct()
-    near = stars.join(marks_of("id"), "id").join(marks_of("hub"), "hub").where(_possible(cfg, "n_id", "n_hub", "s_id", "s_hub"))
-    tested = checkpointed(near.select("id", "hub").distinct())
-    links = checkpointed(confirm(slim, tested, cfg))
-    first = checkpointed(connected_components(links))
-
-    # buckets that still span components: the smaller ones' members against all others
-    labelled = members.select("bucket", "id").join(first, members["id"] == first["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    parts = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    spans = parts.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("lo < hi").select("bucket", "main")
-    open_rows = labelled.join(spans, "bucket").join(marks_of("id"), "id")
-    a = open_rows.where("comp <> main").select("bucket", F.col("id").alias("a"), F.col("comp").alias("c_a"), F.col("n_id").alias("n_a"), F.col("s_id").alias("s_a"))
-    b = open_rows.select("bucket", F.col("id").alias("b"), F.col("comp").alias("c_b"), F.col("main").alias("m_b"), F.col("n_id").alias("n_b"), F.col("s_id").alias("s_b"))
-    apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("m_b")) | (F.col("a") < F.col("b")))
-    crossed = a.join(b.withColumnRenamed("bucket", "b_bucket"), (F.col("bucket") == F.col("b_bucket")) & apart & _possible(cfg, "n_a", "n_b", "s_a", "s_b"))
-    more = crossed.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("hub")).distinct().join(tested, ["id", "hub"], "left_anti")
-    links = links.unionByName(confirm(slim, checkpointed(more), cfg))
-    final = checkpointed(connected_components(links))
+    stars = compact(rows.join(buckets, "bucket").where("id <> hub").select("id", "hub").distinct())
+    marks_of = nodes.select(F.col("id").alias("m_id"), F.col("n_shingles").alias("n"), F.col("signature").alias("sig"))
+    own = stars.select(F.col("hub").alias("id"), "hub").distinct()
+    groups = written(stars.unionByName(own).join(marks_of, F.col("id") == F.col("m_id")).drop("m_id"), "groups")
+
+    heads = groups.where("id = hub").select(F.col("hub").alias("h"), F.col("n").alias("h_n"), F.col("sig").alias("h_sig"))
+    pairs = groups.where("id <> hub").join(heads, F.col("hub") == F.col("h")).where(_possible(cfg, "n", "h_n", "sig", "h_sig"))
+    links = compact(confirm(slim, pairs.select("id", "hub"), cfg))
+    for salt in range(cfg.pivot_rounds):
+        known = connected_components(links)
+        met = compact(_pivot_pairs(checkpointed(_open_groups(groups, known)), salt, cfg))
+        links = compact(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(confirm(slim, met, cfg)))
+    known = connected_components(links)
+    opened = compact(_open_groups(groups, known), 50_000)
+    final = connected_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_settle(slim, opened, cfg)))
 
     of_class = classes.join(final, classes["rep"] == final["node"], "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     light = marks.select("doc_id", "n_shingles", "d1", "d2")

@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+SLICE_ROWS = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -91,17 +92,16 @@ def chunks(texts: pa.Array | pa.ChunkedArray, lower: bool = False, separators: n
     """Chunks of a string column; null is the empty text. separators: 256 flags, instead of white space."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if not len(texts):
-        return
-    _, off, dat = texts.buffers()
-    offsets = np.frombuffer(off, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(dat, np.uint8) if dat is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
-        yield _chunk(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, _SPACE if separators is None else separators)
-        at = to
+    for first in range(0, len(texts), SLICE_ROWS):
+        part = pc.fill_null(texts.slice(first, SLICE_ROWS).cast(pa.large_string()), "")
+        _, off, dat = part.buffers()
+        offsets = np.frombuffer(off, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(dat, np.uint8) if dat is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(part):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+            yield _chunk(first + at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, _SPACE if separators is None else separators)
+            at = to
 
 
 def _chunk(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool, table: np.ndarray) -> Chunk:
