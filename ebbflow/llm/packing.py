@@ -115,13 +115,14 @@ def deal(avail: dict[str, int], share: dict[str, float], deficit: dict[str, floa
     for s in sorted(live, key=lambda s: (-deficit[s], s)):
         served[s] = min(avail[s], max(0, int(deficit[s])), left)
         left -= served[s]
-    while left:  # what rounding, debts or empty queues left over, to those owed most
-        s = max((s for s in live if served[s] < avail[s]), key=lambda s: (deficit[s] - served[s], s))
-        others = [deficit[o] - served[o] for o in live if o != s and served[o] < avail[o]]
-        step = left if not others else max(1, min(left, int(deficit[s] - served[s] - max(others)) + 1))
-        step = min(step, avail[s] - served[s], left)
-        served[s] += step
-        left -= step
+    while left:  # what rounding, debts or empty queues left over: in proportion again, then one by one
+        more = sorted((s for s in live if served[s] < avail[s]), key=lambda s: (served[s] - deficit[s], s))
+        whole, room = sum(share[s] for s in more), left
+        for s in more:
+            part = int(room * (share[s] / whole if whole > 0 else 1.0 / len(more)))
+            step = min(part if part else 1, avail[s] - served[s], left)
+            served[s] += step
+            left -= step
     for s in live:
         deficit[s] -= served[s]
     return served
