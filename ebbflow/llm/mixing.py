@@ -1,6 +1,6 @@
 """Operator 2, mixing sources to target weights by soft membership (native: DataFrame functions only).
 
-1. A labelled table trains a naive Bayes classifier over the presence of words and word endings: at most
+1. A labelled table trains a naive Bayes classifier over the presence of words: at most
    ``most_rows`` labelled texts (that bound is the parameter; rows drawn by a hash of the id, equal texts
    counted once) are counted per (feature, domain) by a two-phase aggregate, and the features whose
    document rates differ most are kept, ``most_features`` a domain.
@@ -40,7 +40,7 @@ DOMAINS = ("good", "poor", "toxic")
 class MixConfig:
     targets: tuple[float, ...] = (0.96, 0.03, 0.01)  # token weights of DOMAINS after mixing
     budget: float | None = None  # tokens after mixing, as a multiple of the tokens before
-    most_rows: int = 20_000
+    most_rows: int = 12_000
     most_features: int = 40  # per domain
     least_gap: float = 0.05  # least difference of document rates for a feature
     ridge: float = 0.001
@@ -55,17 +55,16 @@ class MixConfig:
 PUNCTUATION = ".,;:?"
 
 
-def features(text: Column) -> Column:
-    """Words (white space split, lower case, without PUNCTUATION), and their last three characters after '~'."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), SPACE_CHARS + PUNCTUATION, " " * len(SPACE_CHARS))
-    ws = F.split(plain, " ")
-    return F.concat(ws, F.transform(ws, lambda w: F.concat(F.lit("~"), F.substring(w, -3, 3))))
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def n_words(text: Column) -> Column:
-    """Number of ``[^\\x20\\x09-\\x0D]+`` runs."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, " " * len(SPACE_CHARS))
-    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
+def words(text: Column) -> Column:
+    """White-space separated words with A-Z in lower case and without PUNCTUATION, and empty strings between.
+
+    One translation does all three, so a text is walked once before the split.
+    """
+    spaces = " " * len(SPACE_CHARS)
+    return F.split(F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS + _UPPER + PUNCTUATION, spaces + _LOWER), " ")
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -84,8 +83,8 @@ def train(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), id_c
     marked = labels.select(F.col(id_col).cast("long").alias("l_id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("l_id IS NOT NULL AND domain IS NOT NULL").distinct()
     sample = checkpointed(marked.orderBy(F.xxhash64("l_id", F.lit(cfg.seed)), "l_id", "domain").limit(cfg.most_rows))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))  # most_rows rows at most
-    once = texts.groupBy("domain", F.xxhash64(features(F.col("text"))).alias("digest")).agg(F.max("text").alias("text"))
-    found = checkpointed(once.select("domain", F.array_distinct(features(F.col("text"))).alias("found")))
+    once = texts.groupBy("domain", F.xxhash64("text").alias("digest")).agg(F.max("text").alias("text"))
+    found = checkpointed(once.select("domain", F.array_distinct(F.array_remove(words(F.col("text")), "")).alias("found")))
     k = len(DOMAINS)
     sizes = [0] * k
     for r in found.groupBy("domain").agg(F.count("*").alias("n")).collect():
@@ -104,21 +103,22 @@ def train(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), id_c
 
 
 def with_posteriors(docs: DataFrame, model: Model, cfg: MixConfig, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__n`` (words) and ``__p`` (array of domain posteriors)."""
+    """``docs`` with ``__n`` (words; those of punctuation alone don't count) and ``__p`` (array of domain posteriors)."""
     k = len(model.base)
     known = F.array(*[F.lit(w) for w in model.added]) if model.added else F.array().cast("array<string>")
-    marked = docs.withColumn("__hit", F.array_intersect(features(F.col(text_col)), known))
+    marked = docs.withColumn("__w", words(F.col(text_col))).withColumn("__n", F.size(F.array_remove("__w", "")).cast("long"))
+    start = F.struct(*[F.lit(x).alias(f"s{d}") for d, x in enumerate(model.base)])
+    table = F.create_map(*[x for w, v in model.added.items() for x in (F.lit(w), F.struct(*[F.lit(y).alias(f"s{d}") for d, y in enumerate(v)]))]) if model.added else None
+
+    def add(acc: Column, w: Column) -> Column:
+        return acc if table is None else F.struct(*[(acc[f"s{d}"] + table[w][f"s{d}"]).alias(f"s{d}") for d in range(k)])
 
-    def odds(d: int) -> Column:
-        if not model.added:
-            return F.lit(model.base[d])
-        table = F.create_map(*[F.lit(x) for w, v in model.added.items() for x in (w, v[d])])
-        return F.aggregate("__hit", F.lit(model.base[d]), lambda acc, w: acc + F.coalesce(table[w], F.lit(0.0)))
+    def finish(acc: Column) -> Column:
+        e = [F.lit(1.0)] + [F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), acc[f"s{d}"]))) for d in range(k)]
+        return F.array(*[x / sum(e[1:], e[0]) for x in e])
 
-    e = [F.lit(1.0)] + [F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), odds(d)))) for d in range(k)]
-    p = F.array(*e)
-    whole = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
-    return marked.withColumn("__e", p).withColumn("__p", F.transform("__e", lambda x: x / whole)).withColumn("__n", n_words(F.col(text_col))).drop("__e", "__hit")
+    # one fold from the text's known words to its posteriors: nothing in it is evaluated per domain
+    return marked.withColumn("__p", F.aggregate(F.array_intersect("__w", known), start, add, finish)).drop("__w")
 
 
 def _rate(steps: list[list[float]], r0: Column, y0: Column, a: Column, eta: float, ridge: float) -> Column:
@@ -127,11 +127,13 @@ def _rate(steps: list[list[float]], r0: Column, y0: Column, a: Column, eta: floa
     listed = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
 
     def one(acc: Column, s: Column) -> Column:
-        pull = sum((a[d] * s[d] for d in range(1, k)), a[0] * s[0]) + ridge * (acc["y"] - 1.0)
+        pull = sum((acc["a"][d] * s[d] for d in range(1, k)), acc["a"][0] * s[0]) + ridge * (acc["y"] - 1.0)
         r = F.greatest(F.lit(0.0), acc["y"] - eta * pull)
-        return F.struct(r.alias("r"), (r + s[k] * (r - acc["r"])).alias("y"))
+        return F.struct(r.alias("r"), (r + s[k] * (r - acc["r"])).alias("y"), acc["a"].alias("a"))
 
-    return F.aggregate(listed, F.struct(r0.alias("r"), y0.alias("y")), one) if steps else F.struct(r0.alias("r"), y0.alias("y"))
+    # the posteriors ride in the accumulator, so an expression behind them is evaluated once a row
+    start = F.struct(r0.alias("r"), y0.alias("y"), a.alias("a"))
+    return F.aggregate(listed, start, one) if steps else start
 
 
 @dataclass(frozen=True)
@@ -163,11 +165,10 @@ def fit_rates(marks: DataFrame, cfg: MixConfig = MixConfig()) -> tuple[DataFrame
     import numpy as np
 
     k = len(DOMAINS)
-    sums = marks.agg(F.count("*").alias("rows"), F.sum("__n").alias("tokens")).first()
-    rows, tokens = sums["rows"], sums["tokens"] or 0
-    if not rows or not tokens:
-        return marks.withColumn("__rate", F.lit(1.0)), MixFit((), 0.0, (0.0,) * k, (0.0,) * k)
     state = checkpointed(marks.withColumn("__r", F.lit(1.0)).withColumn("__y", F.lit(1.0)))
+    tokens = state.agg(F.sum("__n")).first()[0] or 0
+    if not tokens:
+        return state.withColumn("__rate", F.lit(1.0)).drop("__r", "__y"), MixFit((), 0.0, (0.0,) * k, (0.0,) * k)
     total = lambda c: F.sum(F.col("__n") * c) / float(tokens)
     p = [F.col("__p")[d] for d in range(k)]
     gram = state.agg(*[total(p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)], *[total(p[i]).alias(f"t{i}") for i in range(k)]).first()
