@@ -45,7 +45,7 @@ def training_rows(observed: DataFrame, predicted_curve: DataFrame, step_minutes:
 
 def fit(rows: DataFrame, trees: int = 160, least_leaf: int = 15, depth: int = 12) -> tuple[RandomForestRegressionModel, RandomForestRegressionModel]:
     """(time model on recent rows, height model on all)."""
-    data = assembled(rows)
+    data = assembled(rows).persist()  # a forest reads its rows once a level
     return _forest("time", trees, least_leaf, depth).fit(recent(data, "observed_datetime_ist")), _forest("height_error", trees, least_leaf, depth).fit(data)
 
 
