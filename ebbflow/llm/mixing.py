@@ -14,8 +14,9 @@
    domain totals only, one distributed sum. Between written states (every ``fold`` steps) a document's
    rate is re-derived from its posteriors by folding over the few gradients since, K numbers each.
 
-Targets are weights; the budget they share is by default the largest that asks no domain for more
-tokens than it has (``budget`` None), so rates stay near or below one and nothing need be repeated.
+Targets are weights. By default (``budget`` None) they are scaled so that the first domain keeps all its
+tokens, and no domain is asked for more than it has: rates stay near or below one, so nothing need be
+repeated, and clean documents aren't thinned out because another domain is scarce.
 
 Domains here are the label classes: good (quality 1, not toxic), poor (quality 0, not toxic), toxic.
 Edge cases: null or blank texts have the prior as posteriors and no tokens, so rate 1; null ids and
@@ -153,8 +154,10 @@ def targets_of(totals: list[float], cfg: MixConfig) -> list[float]:
     """Target totals per domain, as shares of all tokens before mixing."""
     whole = sum(cfg.targets)
     weights = [t / whole for t in cfg.targets]
-    budget = cfg.budget if cfg.budget is not None else min((t / w for t, w in zip(totals, weights, strict=True) if w > 0), default=1.0)
-    return [budget * w for w in weights]
+    if cfg.budget is not None:
+        return [cfg.budget * w for w in weights]
+    budget = totals[0] / weights[0] if weights[0] > 0 else 1.0
+    return [min(budget * w, t) for w, t in zip(weights, totals, strict=True)]
 
 
 def fit_rates(marks: DataFrame, cfg: MixConfig = MixConfig()) -> tuple[DataFrame, MixFit]:
