@@ -77,10 +77,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder (column-pruned, compressed lineage cut)."""
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder (column-pruned, compressed lineage cut).
+
+    Hashes don't compress, so the cheap codec is the default.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -198,7 +198,7 @@ def pack(docs: DataFrame, cfg: PackConfig = PackConfig(), with_ids: bool = False
 
     with_ids adds the piece's ids, little-endian unsigned 32-bit.
     """
-    tokens = written(tokenised(docs, cfg, **columns), "tokens")
+    tokens = written(tokenised(docs, cfg, **columns), "tokens", "zstd")
     sums = checkpointed(tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")))
     total = sums.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(1, -(-total // cfg.bucket_tokens))

@@ -71,6 +71,24 @@ def minimisers(c: Chunk, cfg: RepeatConfig) -> tuple[np.ndarray, np.ndarray]:
     # the greatest window minimum over the windows that hold a position equals its hash iff it is one
     high = _slide(low[::-1], cfg.window, np.maximum)[::-1]
     keep = (high == h) & (h > 0)
+    return _thinned(at[keep], h[keep], doc[keep], cfg.window // 2)
+
+
+def _thinned(at: np.ndarray, h: np.ndarray, doc: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of chains of equal neighbouring minima (repetitive text) one in ``step`` words, and the last.
+
+    Their contexts repeat as well, so any of a chain stands for the others; every window keeps one.
+    """
+    if not len(at):
+        return at, h
+    opens = np.ones(len(at), bool)
+    opens[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    first = np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))
+    part = (at - at[first]) // step
+    keep = opens.copy()
+    keep[1:] |= part[1:] != part[:-1]
+    keep[:-1] |= opens[1:]
+    keep[-1] = True
     return at[keep], h[keep]
 
 
@@ -116,19 +134,33 @@ _ROW = ("doc_id", "row_key", "anchor", "pos", "ahead", "behind")
 _FOUND_SCHEMA = "kind int, part int, doc_id long, row_key long, anchor long, pos int, ahead binary, behind binary, first int, last int, other long"
 
 
-class _Matches:
-    """Collects matches between two suffixes with the same anchor."""
+class _Suffix:
+    """A suffix and the widest passage it was found to share so far."""
+
+    __slots__ = ("row", "first", "last", "other")
 
-    def __init__(self, least: int):
-        self.least, self.rows = least, []
+    def __init__(self, row: tuple):
+        self.row, self.first, self.last, self.other = row, None, None, None
 
-    def meet(self, a: tuple, b: tuple) -> None:
-        if a[2] != b[2] or a[0] == b[0]:
-            return
-        back, forth = agree(a[5], b[5]), agree(a[4], b[4])
-        if back + forth >= self.least:
-            self.rows.append((0, None, a[0], a[1], None, None, None, None, a[3] - back, a[3] + forth, b[0]))
-            self.rows.append((0, None, b[0], b[1], None, None, None, None, b[3] - back, b[3] + forth, a[0]))
+    def widen(self, back: int, forth: int, other: int) -> None:
+        first, last = self.row[3] - back, self.row[3] + forth
+        if self.first is None:
+            self.first, self.last, self.other = first, last, other
+        else:  # both hold the anchor, so their union is one passage
+            self.first, self.last, self.other = min(first, self.first), max(last, self.last), min(other, self.other)
+
+
+def _meet(a: _Suffix, b: _Suffix, least: int) -> None:
+    x, y = a.row, b.row
+    if x[2] == y[2] and x[0] != y[0]:
+        back, forth = agree(x[5], y[5]), agree(x[4], y[4])
+        if back + forth >= least:
+            a.widen(back, forth, y[0])
+            b.widen(back, forth, x[0])
+
+
+def _found(s: _Suffix) -> list[tuple]:
+    return [] if s.first is None else [(0, None, s.row[0], s.row[1], None, None, None, None, s.first, s.last, s.other)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -138,43 +170,54 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _walk(batches: Iterator[pa.RecordBatch], cfg: RepeatConfig) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes to matches (kind 0), and the partition's first (1) and last (2) run of one document."""
+    """Sorted suffixes to shared passages (kind 0), and the partition's first (1) and last (2) run.
+
+    A run is consecutive suffixes of one document and anchor. All of a run meet the suffix after it, and
+    the run's last suffix meets all of the next run: as many meetings as suffixes, whatever the runs.
+    In rows of kind 1 and 2, ``first`` is the place in the run and ``last`` the run's length.
+    """
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    found = _Matches(cfg.least)
-    edge = lambda kind, r: (kind, part, *r, None, None, None)
-    run: list[tuple] = []  # consecutive suffixes of one document and anchor
-    before: tuple | None = None  # the last suffix of the document before
-    leading, any_rows = True, False
+    out: list[tuple] = []
+    edge = lambda kind, run: [(kind, part, *s.row, k, len(run), None) for k, s in enumerate(run)]
+    run: list[_Suffix] = []
+    before: _Suffix | None = None
+    leading = True
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in _ROW), strict=True):
-            any_rows = True
-            if run and (run[-1][0] != row[0] or run[-1][2] != row[2]):
+            now = _Suffix(row)
+            if run and (run[-1].row[0] != row[0] or run[-1].row[2] != row[2]):
                 if leading:
-                    yield _batch([edge(1, r) for r in run])
+                    out += edge(1, run)
                     leading = False
-                for r in run:
-                    found.meet(r, row)
+                for s in run:
+                    _meet(s, now, cfg.least)
+                for s in ([before] if before else []) + run[:-1]:
+                    out += _found(s)
                 before, run = run[-1], []
             elif before is not None:
-                found.meet(before, row)
-            run.append(row)
-        if found.rows:
-            yield _batch(found.rows)
-            found.rows = []
-    if any_rows:
-        yield _batch([edge(k, r) for k in ((1, 2) if leading else (2,)) for r in run])
+                _meet(before, now, cfg.least)
+            run.append(now)
+        if len(out) > 10_000:
+            yield _batch(out)
+            out = []
+    for kind in (1, 2) if leading else (2,):
+        out += edge(kind, run)
+    for s in ([before] if before else []) + run:
+        out += _found(s)
+    yield _batch(out)
 
 
 def _border(batches: Iterator[pa.RecordBatch], cfg: RepeatConfig) -> Iterator[pa.RecordBatch]:
-    found = _Matches(cfg.least)
     for batch in batches:
+        out: list[tuple] = []
         cols = [[batch.column(side + k).to_pylist() for k in _ROW] for side in ("a_", "b_")]
-        for a, b in zip(zip(*cols[0], strict=True), zip(*cols[1], strict=True), strict=True):
-            found.meet(a, b)
-    if found.rows:
-        yield _batch(found.rows)
+        for x, y in zip(zip(*cols[0], strict=True), zip(*cols[1], strict=True), strict=True):
+            a, b = _Suffix(x), _Suffix(y)
+            _meet(a, b, cfg.least)
+            out += _found(a) + _found(b)
+        yield _batch(out)
 
 
 def _neighbours(suffixes: DataFrame, order: list[str], cfg: RepeatConfig) -> DataFrame:
@@ -183,9 +226,9 @@ def _neighbours(suffixes: DataFrame, order: list[str], cfg: RepeatConfig) -> Dat
     walked = written(ordered.mapInArrow(lambda it: _walk(it, cfg), _FOUND_SCHEMA), "neighbours")
     parts = walked.where("kind > 0").select("part").distinct()
     step = parts.select("part", F.lag("part").over(Window.orderBy("part")).alias("from")).where("from IS NOT NULL")  # a row per partition
-    tails = walked.where("kind = 2").select(F.col("part").alias("from"), *[F.col(k).alias(f"a_{k}") for k in _ROW])
-    heads = walked.where("kind = 1").select("part", *[F.col(k).alias(f"b_{k}") for k in _ROW])
-    border = step.join(tails, "from").join(heads, "part").where("a_anchor = b_anchor").mapInArrow(lambda it: _border(it, cfg), _FOUND_SCHEMA)
+    tails = walked.where("kind = 2").select(F.col("part").alias("from"), *[F.col(k).alias(f"a_{k}") for k in _ROW], (F.col("first") == F.col("last") - 1).alias("a_last"))
+    heads = walked.where("kind = 1").select("part", *[F.col(k).alias(f"b_{k}") for k in _ROW], (F.col("first") == 0).alias("b_first"))
+    border = step.join(tails, "from").join(heads, "part").where("a_anchor = b_anchor AND (a_last OR b_first)").mapInArrow(lambda it: _border(it, cfg), _FOUND_SCHEMA)
     return walked.where("kind = 0").unionByName(border).select("doc_id", "row_key", "first", "last", "other")
 
 
