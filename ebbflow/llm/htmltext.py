@@ -4,11 +4,12 @@ A page is cut into text lines (one per block element). Pages are put in order of
 id over the whole cluster, and each is aligned with the page before and after it on its host by
 longest common subsequence of line hashes. Shared lines are template text and are deleted:
 
-* outside a main container (``article``, ``main``, ``role=main``), lines shared with either neighbour;
+* outside a main container (``article``, ``main``, ``role=main``), lines shared with both neighbours, or with
+  one that shares at most half of the page's text: closer ones are mirrors or near copies of the
+  article and say nothing about the template;
 * inside one, lines shared with both that are so shared on most pages of the host (``main_rate``), since
   a passage that some neighbouring articles have in common (a licence line, a quotation) is article text;
-* nothing on account of a neighbour that shares more than half of the page's text: mirrors and
-  near copies of an article say nothing about the template.
+* never all that a page has.
 
 Differencing sees only what neighbours share, while menus and adverts here differ from page to page.
 So a structural reading goes with it: elements that declare themselves boilerplate (``nav``, ``aside``,
@@ -212,20 +213,22 @@ def _shared_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """For each row and the one before it on its host: (row_key, host, lines shared with the row before / after)."""
     kind = pa.list_(pa.struct([("i", pa.int32()), ("h", pa.int64())]))
     for batch in batches:
-        keys, hosts, before, after = [], [], [], []
+        keys, hosts, before, after, close = [], [], [], [], ([], [])
         for row in batch.to_pylist():
             if row["prev_row_key"] is None or row["prev_host"] != row["host"] or not row["hashes"] or not row["prev_hashes"]:
                 continue
             pairs = shared(row["prev_hashes"], row["hashes"])
             for side, of in ((1, ""), (0, "prev_")):
                 at, sizes = [p[side] for p in pairs], row[of + "sizes"]
-                if at and 2 * sum(sizes[k] for k in at) <= sum(sizes):
+                if at:
+                    for c, mine in zip(close, (1, 0), strict=True):
+                        c.append(mine == side and 2 * sum(sizes[k] for k in at) > sum(sizes))
                     found = [{"i": k, "h": row[of + "hashes"][k]} for k in at]
                     keys.append(row[of + "row_key"])
                     hosts.append(row["host"])
                     before.append(found if side else [])
                     after.append([] if side else found)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(before, kind), pa.array(after, kind)], ["row_key", "host", "before", "after"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(before, kind), pa.array(after, kind), *(pa.array(c, pa.bool_()) for c in close)], ["row_key", "host", "before", "after", "close_before", "close_after"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +238,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ls = lines(page or "")
             has_main = any(main for _, main in ls)
             gone = {False: set(outside or ()), True: set(inside or ())}
-            texts.append(" ".join(t for k, (t, main) in enumerate(ls) if (main or not has_main) and k not in gone[main]))
+            page_lines = [(k, t, main) for k, (t, main) in enumerate(ls) if main or not has_main]
+            own = [t for k, t, main in page_lines if k not in gone[main]]
+            texts.append(" ".join(own or [t for _, t, _ in page_lines]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -259,14 +264,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     hashed = keyed.mapInArrow(_line_hashes, "host string, path string, page_id long, row_key long, hashes array<long>, sizes array<int>")
     pairs = with_previous(hashed, ["host", "path", "page_id", "row_key"], ["host", "row_key", "hashes", "sizes"])
     kind = "array<struct<i: int, h: long>>"
-    found = pairs.mapInArrow(_shared_lines, f"row_key long, host string, before {kind}, after {kind}")
-    by_row = written(found.groupBy("row_key", "host").agg(F.max("before").alias("before"), F.max("after").alias("after")), "shared_lines")
+    found = pairs.mapInArrow(_shared_lines, f"row_key long, host string, before {kind}, after {kind}, close_before boolean, close_after boolean")
+    by_row = written(found.groupBy("row_key", "host").agg(F.max("before").alias("before"), F.max("after").alias("after"), F.max("close_before").alias("close_before"), F.max("close_after").alias("close_after")), "shared_lines")
     # template lines of a host: shared with both neighbours on most of its pages
     sizes = host_sizes(slim, url).where(F.col("n_pages") >= least_pages)
-    lines_of = by_row.select("host", F.explode(F.array_intersect("before", "after")).alias("x")).groupBy("host", F.col("x.h").alias("h")).agg(F.count("*").alias("n"))
+    both = F.array_intersect("before", "after")
+    lines_of = by_row.where("NOT close_before AND NOT close_after").select("host", F.explode(both).alias("x")).groupBy("host", F.col("x.h").alias("h")).agg(F.count("*").alias("n"))
     template = lines_of.join(sizes, "host").where(F.col("n") >= main_rate * F.col("n_pages")).groupBy("host").agg(F.collect_set("h").alias("template"))
-    either = F.array_distinct(F.concat(F.transform("before", lambda x: x["i"]), F.transform("after", lambda x: x["i"])))
-    inside = F.transform(F.filter(F.array_intersect("before", "after"), lambda x: F.array_contains("template", x["h"])), lambda x: x["i"])
-    gone = written(by_row.join(template, "host", "left").select(F.col("row_key").alias("s_key"), either.alias("outside"), inside.alias("inside")), "gone_lines")
+    none = F.array().cast(kind)
+    either = F.array_union(both, F.array_union(F.when(F.col("close_before"), none).otherwise(F.col("before")), F.when(F.col("close_after"), none).otherwise(F.col("after"))))
+    places = lambda c: F.transform(c, lambda x: x["i"])
+    inside = F.filter(both, lambda x: F.array_contains("template", x["h"]))
+    gone = written(by_row.join(template, "host", "left").select(F.col("row_key").alias("s_key"), places(either).alias("outside"), places(inside).alias("inside")), "gone_lines")
     joined = slim.join(small_side(gone, gone.count(), broadcast_rows), slim["row_key"] == gone["s_key"], "left")
     return joined.select("page_id", "url", "html", "outside", "inside").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
