@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -31,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="ebbflow-")
+        at = tempfile.mkdtemp(prefix="ebbflow-")
+        atexit.register(shutil.rmtree, at, True)
+        _own_dir = "file://" + at
     return _own_dir
 
 
