@@ -502,3 +502,63 @@ def event_calibration(spark, sf_dir):
     rows = calibration.training_rows(s, curve)
     models = calibration.fit(rows, trees=20, depth=5)
     return calibration.apply(peaks.prominent_events(curve), models)
+
+
+_HOURS = "h AS (SELECT unnest(generate_series(TIMESTAMP '2024-06-01', TIMESTAMP '2024-06-02 23:00:00', INTERVAL '1 hour')) AS datetime_ist)"
+
+
+@query("hourly_water_levels", f"WITH {_HOURS} SELECT 'model' AS port, datetime_ist, round({_PRED}, 6) AS predicted_height_m FROM h")
+def hourly_water_levels(spark, sf_dir):
+    from . import workflows
+
+    return workflows.forecast(spark, small_model(spark), "2024-06-01 00:00:00", 48).withColumn("predicted_height_m", F.round("predicted_height_m", 6))
+
+
+@query("event_forecast")
+def event_forecast(spark, sf_dir):
+    from . import workflows
+
+    return workflows.events_forecast(spark, small_model(spark), "2024-06-01 00:00:00", 48)["events"]
+
+
+@query("tide_report_errors")
+def tide_report_errors(spark, sf_dir):
+    from . import workflows
+
+    h = hourly(spark, sf_dir)
+    observed = turning.turning_points(h.where("port = 'purchase'")).withColumn("port", F.lit("click"))
+    return workflows.tide_report(h.where("port = 'click'"), "2024-01-10 00:00:00", 72, observed)["errors"]
+
+
+_CONST = ", ".join(f"('{n}', {p!r}::DOUBLE, {w!r}::DOUBLE, '{k}')" for n, p, w, k in harmonic.CONSTITUENTS)
+
+
+@query("constituents", f"SELECT * FROM (VALUES {_CONST}) AS c(name, period_hours, speed_deg_per_hour, kind)")
+def constituents(spark, sf_dir):
+    return harmonic.constituents(spark)
+
+
+@query("recent_history", f"WITH {_S}, o AS (SELECT o_orderpriority AS port, o_orderdate::TIMESTAMP AS datetime_ist, o_totalprice AS height_m FROM orders), l AS (SELECT port, make_timestamp(year(max(datetime_ist)) - 3, 1, 1, 0, 0, 0.0) AS f FROM o GROUP BY port) SELECT port, count(*) AS n, min(datetime_ist) AS first_ts FROM o JOIN l USING (port) WHERE datetime_ist >= f GROUP BY port")
+def recent_history(spark, sf_dir):
+    from ..operators import calibration
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("port"), F.col("o_orderdate").alias("datetime_ist"), F.col("o_totalprice").alias("height_m"))
+    return calibration.recent(o, "datetime_ist").groupBy("port").agg(F.count("*").alias("n"), F.min("datetime_ist").alias("first_ts"))
+
+
+@query("time_value_validation", "SELECT o_orderkey, lpad((o_orderkey * 7 % 3000)::VARCHAR, 4, '0') AS value, regexp_full_match(lpad((o_orderkey * 7 % 3000)::VARCHAR, 4, '0'), '([01][0-9]|2[0-3])[0-5][0-9]') AS valid FROM orders")
+def time_value_validation(spark, sf_dir):
+    value = F.lpad((F.col("o_orderkey") * 7 % 3000).cast("string"), 4, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"), extraction.valid_time(value).alias("valid"))
+
+
+@query("anchored_rows")
+def anchored_rows(spark, sf_dir):
+    chars = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("page"), F.col("l_quantity").alias("x0"), (F.col("l_extendedprice") / 1000.0).alias("top"), F.col("l_returnflag").alias("text"))
+    return extraction.anchored_rows(chars, ["page"], 1.0)
+
+
+@query("calibrated_identity", f"WITH {_TP} SELECT port, state, datetime_ist AS raw_datetime_ist, datetime_ist - to_milliseconds(90000) AS datetime_ist, height_m AS raw_height_m, round(height_m - 0.25, 6) AS height_m FROM t")
+def calibrated_identity(spark, sf_dir):
+    t = turning.turning_points(hourly(spark, sf_dir))
+    return t.select("port", "state", F.col("datetime_ist").alias("raw_datetime_ist"), S.shift_micros(F.col("datetime_ist"), F.lit(-90_000_000)).alias("datetime_ist"), F.col("height_m").alias("raw_height_m"), F.round(F.col("height_m") - 0.25, 6).alias("height_m"))

@@ -197,10 +197,10 @@ def test_lstm_forward_shapes():
 
 def test_words_to_hours(spark):
     words = [(1, "3", 10.0, 100.2)] + [(1, f"{h / 10:.1f}", 20.0 + h, 99.6) for h in range(24)] + [(1, "4", 10.0, 130.0), (1, "1.0", 20.0, 130.0)]
-    text = "NAME OF PORT:- Diamond (Dock) MONTH SEPT YEAR 2024"
+    text = "NAME OF PORT:- East Quay (Dock) MONTH SEPT YEAR 2024"
     w = spark.createDataFrame(words, "page int, text string, x0 double, top double")
     got = extraction.hourly_days(w, spark.createDataFrame([(1, text)], "page int, text string")).orderBy("datetime_ist").collect()
-    assert len(got) == 24 and got[5].datetime_ist == datetime(2024, 9, 3, 5) and got[5].height_m == 0.5 and got[0].port == "DIAMOND"
+    assert len(got) == 24 and got[5].datetime_ist == datetime(2024, 9, 3, 5) and got[5].height_m == 0.5 and got[0].port == "EAST QUAY"
 
 
 def test_event_table(spark):
