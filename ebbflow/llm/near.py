@@ -51,7 +51,7 @@ class NearConfig:
     pivot_rounds: int = 1
     block: int = 512
     seed: int = 20240229
-    broadcast_rows: int = 2_000_000  # ids of documents to confirm: 16 MB at most, else a shuffle join
+    broadcast_rows: int = 200_000  # ids with at most ``bands`` hubs each: 70 MB at most, else a shuffle join
 
     @property
     def n_hashes(self) -> int:
