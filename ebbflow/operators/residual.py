@@ -2,7 +2,7 @@
 
 The interface is ``fit(windows) -> weights`` and a vectorised next-step score. The default regressor is
 ridge regression on 168 lags and six calendar features, solved from one distributed Gram matrix. A
-recurrent network with the reference's layout can score imported weights (NumPy forward pass); training
+recurrent network of two layers and a small head can score imported weights (NumPy forward pass); training
 one needs an external library and is not part of this package.
 """
 
