@@ -280,14 +280,19 @@ _COLS = ["1.0", *(f"{f}_{n}" for n, *_ in TERMS for f in ("cos", "sin")), "heigh
 _GRAM_CELLS = ", ".join(f"({i}, {j}, {a} * {b})" for i, a in enumerate(_COLS) for j, b in enumerate(_COLS) if i <= j)
 
 
-@query("harmonic_gram", f"WITH {_S}, d AS (SELECT port, height_m, {_DESIGN} FROM s) SELECT port, i, j, round(sum(x), 4) AS s FROM d, LATERAL (VALUES {_GRAM_CELLS}) AS c(i, j, x) GROUP BY port, i, j")
+def _untied(x):
+    """Rounded to 4 places, off the ties that sums of 6-place heights would hit (a sum's last bits depend on its order)."""
+    return F.round(x + 1.234567e-5, 4)
+
+
+@query("harmonic_gram", f"WITH {_S}, d AS (SELECT port, height_m, {_DESIGN} FROM s) SELECT port, i, j, round(sum(x) + 1.234567e-5, 4) AS s FROM d, LATERAL (VALUES {_GRAM_CELLS}) AS c(i, j, x) GROUP BY port, i, j")
 def harmonic_gram(spark, sf_dir):
-    return harmonic.gram_sql(hourly(spark, sf_dir), NAMES).withColumn("s", F.round("s", 4))
+    return harmonic.gram_sql(hourly(spark, sf_dir), NAMES).withColumn("s", _untied(F.col("s")))
 
 
-@query("harmonic_gram_partial", f"WITH {_S}, d AS (SELECT port, height_m, {_DESIGN} FROM s) SELECT port, i, j, round(sum(x), 4) AS s FROM d, LATERAL (VALUES {_GRAM_CELLS}) AS c(i, j, x) GROUP BY port, i, j")
+@query("harmonic_gram_partial", f"WITH {_S}, d AS (SELECT port, height_m, {_DESIGN} FROM s) SELECT port, i, j, round(sum(x) + 1.234567e-5, 4) AS s FROM d, LATERAL (VALUES {_GRAM_CELLS}) AS c(i, j, x) GROUP BY port, i, j")
 def harmonic_gram_partial(spark, sf_dir):
-    return harmonic.gram(hourly(spark, sf_dir), NAMES).where("i <= j").withColumn("s", F.round("s", 4))
+    return harmonic.gram(hourly(spark, sf_dir), NAMES).where("i <= j").withColumn("s", _untied(F.col("s")))
 
 
 def _cramer() -> str:
