@@ -2,8 +2,12 @@
 
 1. A labelled table trains a naive Bayes classifier over the presence of words: at most
    ``most_rows`` labelled texts (that bound is the parameter; rows drawn by a hash of the id, equal texts
-   counted once) are counted per (feature, domain) by a two-phase aggregate, and the features whose
-   document rates differ most are kept, ``most_features`` a domain.
+   counted once) are counted per (feature, domain) by a two-phase aggregate. Features are kept by a
+   likelihood-ratio test of their document counts (``least_g``), ``most_features`` a domain at most: a word
+   of a language that few texts are in needs a handful of texts, not a share of all of them. Found features
+   add their log odds; of absent ones, which go together by language and kind of junk, only the absence
+   of all counts, by the texts that it was seen in. The odds that texts with features start from are set
+   so that the posteriors of the labelled texts sum to the domains' counts.
 2. Every text gets its domain posteriors in one expression over its words; nothing is exploded.
 3. Nonnegative rates r_i, one per document, are fitted to
 
@@ -42,8 +46,8 @@ class MixConfig:
     targets: tuple[float, ...] = (0.96, 0.03, 0.01)  # token weights of DOMAINS after mixing
     budget: float | None = None  # tokens after mixing, as a multiple of the tokens before
     most_rows: int = 12_000
-    most_features: int = 40  # per domain
-    least_gap: float = 0.05  # least difference of document rates for a feature
+    most_features: int = 1000  # per domain, the most significant ones
+    least_g: float = 15.1  # least G statistic of a feature (chance 1e-4, one degree of freedom)
     ridge: float = 0.001
     steps: int = 40
     fold: int = 10
@@ -72,12 +76,22 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 2).when(quality == 0, 1).when(quality == 1, 0)
 
 
+def _g_statistic(n: Column, size: int, n0: Column, size0: int) -> Column:
+    """G of the 2 x 2 table: texts of a domain and of domain 0, with a feature and without."""
+    whole = float(max(1, size + size0))
+    having = n + n0
+    term = lambda seen, row, column: F.when(seen > 0, seen * F.log(seen * whole / (row * column))).otherwise(0.0)
+    lacking = F.lit(whole) - having
+    return 2.0 * (term(n, float(size), having) + term(n0, float(size0), having) + term(F.lit(size) - n, float(size), lacking) + term(F.lit(size0) - n0, float(size0), lacking))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Log odds of domains 1.. against domain 0: of a text without any feature, and added per feature."""
+    """Log odds of domains 1.. against domain 0: of a text with features, added per feature, and of one without any."""
 
     base: tuple[float, ...]
     added: dict[str, tuple[float, ...]]
+    none: tuple[float, ...]
 
 
 def train(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -94,32 +108,64 @@ def train(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), id_c
     rate = lambda d: F.col(f"n{d}") / float(max(1, sizes[d]))
     picked: dict[str, tuple[int, ...]] = {}
     for d in range(1, k):
-        gap = rate(d) - rate(0)
-        top = cells.where(gap >= cfg.least_gap).where(rate(d) >= 4 * rate(0)).orderBy(gap.desc(), "feature").limit(cfg.most_features)
+        g = _g_statistic(F.col(f"n{d}"), sizes[d], F.col("n0"), sizes[0])
+        top = cells.where(rate(d) >= 4 * rate(0)).withColumn("g", g).where(F.col("g") >= cfg.least_g).orderBy(F.col("g").desc(), "feature").limit(cfg.most_features)
         picked |= {r["feature"]: tuple(r[f"n{j}"] for j in range(k)) for r in top.collect()}
     p = {w: [(n[d] + 0.5) / (sizes[d] + 1.0) for d in range(k)] for w, n in picked.items()}
-    absent = {w: [math.log((1 - q[d]) / (1 - q[0])) for d in range(1, k)] for w, q in p.items()}
-    base = [math.log((sizes[d] + 1.0) / (sizes[0] + 1.0)) + sum(absent[w][d - 1] for w in p) for d in range(1, k)]
-    return Model(tuple(base), {w: tuple(math.log(q[d] / q[0]) - absent[w][d - 1] for d in range(1, k)) for w, q in sorted(p.items())})
+    base = [math.log((sizes[d] + 1.0) / (sizes[0] + 1.0)) for d in range(1, k)]
+    if not picked:
+        return Model(tuple(base), {}, tuple(base))
+    added = {w: tuple(math.log(q[d] / q[0]) for d in range(1, k)) for w, q in sorted(p.items())}
+    hits = found.select("domain", F.array_intersect("found", _known(added)).alias("__h"))
+    scored = hits.select("domain", F.size("__h").alias("n"), F.aggregate("__h", _odds([0.0] * (k - 1)), _adder(added)).alias("s")).collect()  # most_rows rows at most
+    bare = [sum(r.domain == d and not r.n for r in scored) for d in range(k)]
+    none = [math.log((bare[d] + 0.5) / (bare[0] + 0.5)) for d in range(1, k)]
+    return Model(tuple(_start([r.domain for r in scored if r.n], [tuple(r.s) for r in scored if r.n], base)), added, tuple(none))
+
+
+def _start(domains: list[int], scores: list[tuple[float, ...]], base: list[float]) -> list[float]:
+    """Log odds to add to the scores, from ``base`` on, by which the domains' posteriors sum to their counts."""
+    import numpy as np
+
+    if not scores:
+        return base
+    full = np.column_stack([np.zeros(len(scores)), np.array(scores)])
+    seen = np.bincount(domains, minlength=full.shape[1]) + 0.5
+    at = np.array([0.0, *base])
+    for _ in range(200):
+        e = full + at
+        e = np.exp(e - e.max(axis=1, keepdims=True))
+        at += np.log(seen / ((e / e.sum(axis=1, keepdims=True)).sum(axis=0) + 0.5))
+        at -= at[0]
+    return [float(x) for x in at[1:]]
+
+
+def _odds(values) -> Column:
+    return F.struct(*[F.lit(x).alias(f"s{d}") for d, x in enumerate(values)])
+
+
+def _adder(added: dict[str, tuple[float, ...]]):
+    """acc, feature -> acc with the feature's log odds."""
+    table = F.create_map(*[x for w, v in added.items() for x in (F.lit(w), _odds(v))]) if added else None
+    return lambda acc, w: acc if table is None else F.struct(*[(acc[f"s{d}"] + table[w][f"s{d}"]).alias(f"s{d}") for d in range(len(DOMAINS) - 1)])
+
+
+def _known(features) -> Column:
+    return F.array(*[F.lit(w) for w in features]) if features else F.array().cast("array<string>")
 
 
 def with_posteriors(docs: DataFrame, model: Model, cfg: MixConfig, text_col: str = "text") -> DataFrame:
     """``docs`` with ``__n`` (words; those of punctuation alone don't count) and ``__p`` (array of domain posteriors)."""
     k = len(model.base)
-    known = F.array(*[F.lit(w) for w in model.added]) if model.added else F.array().cast("array<string>")
     marked = docs.withColumn("__w", words(F.col(text_col))).withColumn("__n", F.size(F.array_remove("__w", "")).cast("long"))
-    start = F.struct(*[F.lit(x).alias(f"s{d}") for d, x in enumerate(model.base)])
-    table = F.create_map(*[x for w, v in model.added.items() for x in (F.lit(w), F.struct(*[F.lit(y).alias(f"s{d}") for d, y in enumerate(v)]))]) if model.added else None
-
-    def add(acc: Column, w: Column) -> Column:
-        return acc if table is None else F.struct(*[(acc[f"s{d}"] + table[w][f"s{d}"]).alias(f"s{d}") for d in range(k)])
-
     def finish(acc: Column) -> Column:
         e = [F.lit(1.0)] + [F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), acc[f"s{d}"]))) for d in range(k)]
         return F.array(*[x / sum(e[1:], e[0]) for x in e])
 
     # one fold from the text's known words to its posteriors: nothing in it is evaluated per domain
-    return marked.withColumn("__p", F.aggregate(F.array_intersect("__w", known), start, add, finish)).drop("__w")
+    marked = marked.withColumn("__h", F.array_intersect("__w", _known(model.added)))
+    start = F.when(F.size("__h") == 0, _odds(model.none)).otherwise(_odds(model.base))
+    return marked.withColumn("__p", F.aggregate("__h", start, _adder(model.added), finish)).drop("__w", "__h")
 
 
 def _rate(steps: list[list[float]], r0: Column, y0: Column, a: Column, eta: float, ridge: float) -> Column:
