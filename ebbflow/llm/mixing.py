@@ -1,6 +1,6 @@
 """Operator 2, mixing sources to target weights by soft membership (native: DataFrame functions only).
 
-1. A labelled table trains a naive Bayes classifier over the presence of words: at most
+1. A labelled table trains a naive Bayes classifier over the presence of words and word endings: at most
    ``most_rows`` labelled texts (that bound is the parameter; rows drawn by a hash of the id, equal texts
    counted once) are counted per (feature, domain) by a two-phase aggregate. Features are kept by a
    likelihood-ratio test of their document counts (``least_g``), ``most_features`` a domain at most: a word
@@ -45,7 +45,7 @@ DOMAINS = ("good", "poor", "toxic")
 class MixConfig:
     targets: tuple[float, ...] = (0.96, 0.03, 0.01)  # token weights of DOMAINS after mixing
     budget: float | None = None  # tokens after mixing, as a multiple of the tokens before
-    most_rows: int = 12_000
+    most_rows: int = 20_000
     most_features: int = 1000  # per domain, the most significant ones
     least_g: float = 15.1  # least G statistic of a feature (chance 1e-4, one degree of freedom)
     ridge: float = 0.001
@@ -72,6 +72,16 @@ def words(text: Column) -> Column:
     return F.split(F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS + _UPPER + PUNCTUATION, spaces + _LOWER), " ")
 
 
+def features(found: Column, known=None) -> Column:
+    """Distinct words, and their last three characters after a blank (which no word holds); of ``known`` alone, if given."""
+    endings = F.transform(found, lambda w: F.substring(w, -3, 3))
+    if known is not None:
+        only = lambda of, names: F.filter(of, lambda w: w.isin(names)) if names else F.array().cast("array<string>")
+        found = only(found, [w for w in known if w[0] != " "])
+        endings = only(endings, [w[1:] for w in known if w[0] == " "])
+    return F.concat(F.array_distinct(found), F.transform(F.array_distinct(endings), lambda w: F.concat(F.lit(" "), w)))
+
+
 def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 2).when(quality == 0, 1).when(quality == 1, 0)
 
@@ -99,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), id_c
     sample = checkpointed(marked.orderBy(F.xxhash64("l_id", F.lit(cfg.seed)), "l_id", "domain").limit(cfg.most_rows))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))  # most_rows rows at most
     once = texts.groupBy("domain", F.xxhash64("text").alias("digest")).agg(F.max("text").alias("text"))
-    found = checkpointed(once.select("domain", F.array_distinct(F.array_remove(words(F.col("text")), "")).alias("found")))
+    found = checkpointed(once.select("domain", features(F.array_remove(words(F.col("text")), "")).alias("found")))
     k = len(DOMAINS)
     sizes = [0] * k
     for r in found.groupBy("domain").agg(F.count("*").alias("n")).collect():
@@ -111,12 +121,13 @@ def train(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), id_c
         g = _g_statistic(F.col(f"n{d}"), sizes[d], F.col("n0"), sizes[0])
         top = cells.where(rate(d) >= 4 * rate(0)).withColumn("g", g).where(F.col("g") >= cfg.least_g).orderBy(F.col("g").desc(), "feature").limit(cfg.most_features)
         picked |= {r["feature"]: tuple(r[f"n{j}"] for j in range(k)) for r in top.collect()}
-    p = {w: [(n[d] + 0.5) / (sizes[d] + 1.0) for d in range(k)] for w, n in picked.items()}
+    least = 0.5 / max(1, *sizes)  # the same for all domains: a feature unseen in two of them tells nothing between these
+    p = {w: [n[d] / max(1, sizes[d]) + least for d in range(k)] for w, n in picked.items()}
     base = [math.log((sizes[d] + 1.0) / (sizes[0] + 1.0)) for d in range(1, k)]
     if not picked:
         return Model(tuple(base), {}, tuple(base))
     added = {w: tuple(math.log(q[d] / q[0]) for d in range(1, k)) for w, q in sorted(p.items())}
-    hits = found.select("domain", F.array_intersect("found", _known(added)).alias("__h"))
+    hits = found.select("domain", F.filter("found", lambda w: w.isin(list(added))).alias("__h"))
     scored = hits.select("domain", F.size("__h").alias("n"), F.aggregate("__h", _odds([0.0] * (k - 1)), _adder(added)).alias("s")).collect()  # most_rows rows at most
     bare = [sum(r.domain == d and not r.n for r in scored) for d in range(k)]
     none = [math.log((bare[d] + 0.5) / (bare[0] + 0.5)) for d in range(1, k)]
@@ -150,20 +161,17 @@ def _adder(added: dict[str, tuple[float, ...]]):
     return lambda acc, w: acc if table is None else F.struct(*[(acc[f"s{d}"] + table[w][f"s{d}"]).alias(f"s{d}") for d in range(len(DOMAINS) - 1)])
 
 
-def _known(features) -> Column:
-    return F.array(*[F.lit(w) for w in features]) if features else F.array().cast("array<string>")
-
-
 def with_posteriors(docs: DataFrame, model: Model, cfg: MixConfig, text_col: str = "text") -> DataFrame:
     """``docs`` with ``__n`` (words; those of punctuation alone don't count) and ``__p`` (array of domain posteriors)."""
     k = len(model.base)
-    marked = docs.withColumn("__w", words(F.col(text_col))).withColumn("__n", F.size(F.array_remove("__w", "")).cast("long"))
+    marked = docs.withColumn("__w", F.array_remove(words(F.col(text_col)), "")).withColumn("__n", F.size("__w").cast("long"))
     def finish(acc: Column) -> Column:
-        e = [F.lit(1.0)] + [F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), acc[f"s{d}"]))) for d in range(k)]
+        top = F.greatest(F.lit(0.0), *[acc[f"s{d}"] for d in range(k)])
+        e = [F.exp(-top)] + [F.exp(acc[f"s{d}"] - top) for d in range(k)]
         return F.array(*[x / sum(e[1:], e[0]) for x in e])
 
     # one fold from the text's known words to its posteriors: nothing in it is evaluated per domain
-    marked = marked.withColumn("__h", F.array_intersect("__w", _known(model.added)))
+    marked = marked.withColumn("__h", features(F.col("__w"), list(model.added)))
     start = F.when(F.size("__h") == 0, _odds(model.none)).otherwise(_odds(model.base))
     return marked.withColumn("__p", F.aggregate("__h", start, _adder(model.added), finish)).drop("__w", "__h")
 

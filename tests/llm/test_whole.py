@@ -19,3 +19,18 @@ def test_mixing_minority_language_posteriors(spark):
     found = {r.doc_id: r for r in mixing.mix(docs, labels).collect()}
     for i, (lang, domain, _) in enumerate(texts):
         assert (found[i].p_toxic if domain else found[i].p_good) > 0.5, (lang, domain)
+
+
+def test_mixing_knows_junk_by_its_ending(spark):
+    texts = [("en", 0, f"river{i} bank{i} town{i}") for i in range(300)]
+    texts += [("en", 1, f"stone{i}&&& field{i}&&& road{i}&&&") for i in range(60)]  # no whole word occurs twice
+    docs, labels = _labelled(spark, texts)
+    found = {r.doc_id: r for r in mixing.mix(docs, labels).collect()}
+    for i, (_, domain, _) in enumerate(texts):
+        assert (found[i].p_poor if domain else found[i].p_good) > 0.5, domain
+
+
+def test_mixing_posteriors_of_long_junk(spark):
+    model = mixing.Model((-5.0, -5.0), {"a&&&": (90.0, 70.0)}, (-3.0, -3.0))
+    p = mixing.with_posteriors(spark.createDataFrame([("so a&&&",)], "text string"), model, mixing.MixConfig()).first()["__p"]
+    assert p[1] > 0.99 and abs(sum(p) - 1.0) < 1e-12
