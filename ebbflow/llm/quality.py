@@ -6,6 +6,8 @@ partial sketches merge by addition and Spark's own two-phase aggregation builds
 sketch come a median and an upper quartile; a document is rejected where a ratio lies beyond
 ``upper + FENCE * (upper - median)``, widened by an absolute slack, so a clean stratum loses nothing.
 Strata with fewer than ``min_rows`` rows use the merged sketch of their language, then of everything.
+Where a stratum's upper quartile lies beyond the merged fence but its median doesn't, over a quarter of it is
+junk and its own scale is the junk's: the merged fence holds (a language's is checked in the same way).
 
 Defined edge cases: null text has no words (``base_failed``); null language or source is a stratum of
 its own; repeated rows are judged alike, each on its own; an empty table gives an empty result;
@@ -143,16 +145,18 @@ def _fences(sketch: DataFrame, keys: list[str], cfg: QualityConfig) -> DataFrame
     value = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("total")), F.pow(F.lit(cfg.growth), F.col("bucket")) - 1.0))
     read = run.groupBy(*keys, "rule").agg(F.max("total").alias("total"), value(0.5).alias("mid"), value(cfg.upper).alias("up"))
     slack = F.create_map(*[F.lit(x) for r in cfg.rules for x in (r.name, r.slack)])[F.col("rule")]
-    return read.select(*keys, "rule", "total", (F.col("up") + F.greatest(cfg.fence * (F.col("up") - F.col("mid")), slack)).alias("fence"))
+    return read.select(*keys, "rule", "total", "mid", "up", (F.col("up") + F.greatest(cfg.fence * (F.col("up") - F.col("mid")), slack)).alias("fence"))
 
 
 def thresholds(counts: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """(lang, source, one fence column per rule), small strata backed by their language's or the global sketch."""
     sketch = checkpointed(sketches(counts, cfg))
     own = _fences(sketch, ["lang", "source"], cfg)
-    lang = _fences(sketch, ["lang"], cfg).select(F.col("lang").alias("l_lang"), F.col("rule").alias("l_rule"), F.col("total").alias("l_total"), F.col("fence").alias("l_fence"))
+    lang = _fences(sketch, ["lang"], cfg).select(F.col("lang").alias("l_lang"), F.col("rule").alias("l_rule"), F.col("total").alias("l_total"), F.col("mid").alias("l_mid"), F.col("up").alias("l_up"), F.col("fence").alias("l_own"))
     every = _fences(sketch, [], cfg).select(F.col("rule").alias("g_rule"), F.col("fence").alias("g_fence"))
-    best = F.when(F.col("total") >= cfg.min_rows, F.col("fence")).when(F.col("l_total") >= cfg.min_rows, F.col("l_fence")).otherwise(F.col("g_fence"))
+    held = lambda mid, up, fence, bound: F.when((mid <= bound) & (up > bound), bound).otherwise(fence)
+    wide = F.when(F.col("l_total") >= cfg.min_rows, held(F.col("l_mid"), F.col("l_up"), F.col("l_own"), F.col("g_fence"))).otherwise(F.col("g_fence"))
+    best = F.when(F.col("total") >= cfg.min_rows, held(F.col("mid"), F.col("up"), F.col("fence"), F.least(wide, F.col("g_fence")))).otherwise(wide)
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rule") == F.col("l_rule")), "left").join(F.broadcast(every), F.col("rule") == F.col("g_rule"), "left")
     return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r.name, best)).alias(f"max_{r.name}") for r in cfg.rules])
 

@@ -1,6 +1,11 @@
 """Cases that shortened versions of the operators got wrong."""
 
-from ebbflow.llm import mixing
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from ebbflow.llm import mixing, quality, repeats, wordhash
 
 
 def _labelled(spark, texts):
@@ -34,3 +39,14 @@ def test_mixing_posteriors_of_long_junk(spark):
     model = mixing.Model((-5.0, -5.0), {"a&&&": (90.0, 70.0)}, (-3.0, -3.0))
     p = mixing.with_posteriors(spark.createDataFrame([("so a&&&",)], "text string"), model, mixing.MixConfig()).first()["__p"]
     assert p[1] > 0.99 and abs(sum(p) - 1.0) < 1e-12
+
+
+def test_quality_fence_of_a_junk_heavy_source(spark):
+    def text(k, marks):
+        return " ".join(f"w{k}x{i}{'#' if i < marks else ''}" for i in range(80))
+
+    rows = [(k, text(k, 0), "en", "clean") for k in range(700)]
+    rows += [(1000 + k, text(1000 + k, 0), "en", "mixed") for k in range(210)]
+    rows += [(2000 + k, text(2000 + k, 40 + k % 40), "en", "mixed") for k in range(90)]  # 30% of the source
+    got = {x.doc_id: x.kept for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept == (d < 2000) for d, kept in got.items())
