@@ -71,24 +71,31 @@ def minimisers(c: Chunk, cfg: RepeatConfig) -> tuple[np.ndarray, np.ndarray]:
     # the greatest window minimum over the windows that hold a position equals its hash iff it is one
     high = _slide(low[::-1], cfg.window, np.maximum)[::-1]
     keep = (high == h) & (h > 0)
-    return _thinned(at[keep], h[keep], doc[keep], cfg.window // 2)
+    return _thinned(at[keep], h[keep], doc[keep], cfg.window // 2, cfg.window)
 
 
-def _thinned(at: np.ndarray, h: np.ndarray, doc: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+def _thinned(at: np.ndarray, h: np.ndarray, doc: np.ndarray, step: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Of chains of equal neighbouring minima (repetitive text) one in ``step`` words, and the last.
 
-    Their contexts repeat as well, so any of a chain stands for the others; every window keeps one.
+    Their contexts repeat as well, so any of a chain stands for the others. A member nearer than ``step`` stays
+    where the next one is more than ``window`` from the last that stayed, so every window keeps one.
     """
     if not len(at):
         return at, h
     opens = np.ones(len(at), bool)
     opens[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    first = np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))
-    part = (at - at[first]) // step
     keep = opens.copy()
-    keep[1:] |= part[1:] != part[:-1]
     keep[:-1] |= opens[1:]
     keep[-1] = True
+    begin = np.nonzero(opens)[0]
+    end = np.append(begin[1:], len(at)) - 1
+    for i, last in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
+        while i < last:
+            j = min(last, i + 1 + int(np.searchsorted(at[i + 1 : last + 1], at[i] + step)))
+            if at[j] - at[i] > window and j - 1 > i:
+                j -= 1
+            keep[j] = True
+            i = j
     return at[keep], h[keep]
 
 

@@ -50,3 +50,17 @@ def test_quality_fence_of_a_junk_heavy_source(spark):
     rows += [(2000 + k, text(2000 + k, 40 + k % 40), "en", "mixed") for k in range(90)]  # 30% of the source
     got = {x.doc_id: x.kept for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(kept == (d < 2000) for d, kept in got.items())
+
+
+def test_minimisers_cover_uneven_repeats():
+    at = np.array([0, 19, 58, 70, 75, 112, 150])
+    kept, _ = repeats._thinned(at, np.full(len(at), 7, np.uint64), np.zeros(len(at), np.int64), 20, 40)
+    assert np.diff(kept).max() <= 40 and kept[0] == 0 and kept[-1] == 150
+    cfg = repeats.RepeatConfig()
+    r = random.Random(3)
+    line = " ".join(f"w{k}" for k in range(11))  # a refrain between uneven verses
+    for _ in range(300):
+        text = " ".join(f"{line} " + " ".join(f"v{r.randrange(10**6)}" for _ in range(r.randrange(0, 30))) for _ in range(40))
+        for c in wordhash.chunks(pa.array([text])):
+            at, _ = repeats.minimisers(c, cfg)
+            assert np.diff(np.concatenate([[-1], at, [len(c.word) - cfg.anchor + 1]])).max() <= cfg.window
