@@ -1,7 +1,7 @@
 """Shared plumbing of the training-data operators: the shared folder, lineage cuts, sizes.
 
 Nothing here touches machine-local folders when the cluster names ``spark.checkpoint.dir``;
-only where that setting is absent (single-process tests) a folder of our own is used.
+only where that setting is absent and the master is one local process (tests) a folder of our own is used.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         at = tempfile.mkdtemp(prefix="ebbflow-")
         atexit.register(shutil.rmtree, at, True)
@@ -108,6 +110,17 @@ def column_or_null(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted`` with underscores appended until no column of a user's table has those names."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_side(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Marks ``df`` for broadcast only when its counted ``rows`` are within the bound ``most``;
     beyond it the planner's shuffle joins (with skew splitting) are left alone."""

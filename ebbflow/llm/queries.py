@@ -49,7 +49,9 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = exact.DigestIndex.fresh(spark).assign(table(spark, sf_dir, "documents"))
+    index = exact.DigestIndex.fresh(spark)
+    rows = index.assign(table(spark, sf_dir, "documents"))
+    index.drop()
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
