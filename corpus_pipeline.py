@@ -22,7 +22,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     prepare(spark)
-    return exact.DigestIndex.fresh(spark).drop_copies(docs)
+    index = exact.DigestIndex.fresh(spark)
+    kept = index.drop_copies(docs)
+    index.drop()  # the rows are named by now
+    return kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
