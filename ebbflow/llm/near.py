@@ -1,7 +1,8 @@
 """Operator 3, MinHash near-dedup with b-bit signatures.
 
 1. One Arrow pass hashes every distinct 5-word shingle of each whole text and takes ``n_hashes``
-   minima; only ``BITS`` low bits of each are kept, packed as bit planes, beside one key per band.
+   minima; only the ``BITS`` low bits of each (after one mixing step, as low bits of a multiplicative hash are
+   not even) are kept, packed as bit planes, beside one key per band.
 2. Documents with the same shingle set (size and 128-bit digest) form one class; its smallest id
    stands for it, so copies never become pairs.
 3. Per band bucket every member is paired with the bucket's smallest id. Pairs whose collision-corrected
@@ -12,19 +13,25 @@
    the largest component and from the rest, meet the members of other components (``pivot_rounds``).
 5. What still spans components is settled exactly: in each such group the members outside the largest
    component meet all members of other components in a join whose condition holds the bit-count test
-   and then the full-set test, so refuted pairs never become rows. The join's buffered side is cut
-   into blocks of ``block`` members. After this every candidate pair is confirmed, refuted or already
+   and then the full-set test, so refuted pairs never become rows. Members meet by size band (sets
+   whose sizes differ by more than the threshold allows are never compared), and the join's buffered side is
+   cut into blocks of ``block`` members. After this every candidate pair is confirmed, refuted or already
    connected; there is no cap on groups or partners.
 
+Tables with a row or two per group are broadcast within ``broadcast_rows``; beyond that the join with a group's
+members is dealt by group and ``salts`` salts, so a hot group is never one task's.
+
 With ``rows_per_band`` 5 and 40 bands, a pair at similarity 0.75 shares no band with probability 2e-5.
 Edge cases: null or blank text has an empty set, linked with nothing; a text of fewer than five
 words is one shingle; a null id cannot represent a component: such a row takes its class's
-component, or null; repeated rows share their fate; an empty table gives an empty result; columns
-other than id and text are not read.
+component, or null; repeated rows share their fate; where one id stands on different texts, their links
+are the id's links, and ``drop_near_copies`` keeps all rows of that id rather than lose a text; an empty
+table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, compact, small_side, written
+from .common import checkpointed, compact, free_names, small_side, written
 from .components import connected_components
 from .wordhash import chunks, mix64, shingle_sets
 
@@ -52,6 +59,7 @@ class NearConfig:
     block: int = 512
     seed: int = 20240229
     broadcast_rows: int = 200_000  # ids with at most ``bands`` hubs each: 70 MB at most, else a shuffle join
+    salts: int = 16
 
     @property
     def n_hashes(self) -> int:
@@ -97,7 +105,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], cfg: NearConfig) -> Iterator[
                 for k in range(j * cfg.rows_per_band, (j + 1) * cfg.rows_per_band):
                     key = mix64(key ^ minima[:, k].astype(np.uint64)) + np.uint64(k)
                 bands[:, j] = key
-            low = (minima ^ (minima >> _U32(15))) * _U32(0x2C1B3C6D) >> _U32(32 - BITS)
+            mixed = (minima ^ (minima >> _U32(15))) * _U32(0x2C1B3C6D)
+            low = (mixed ^ (mixed >> _U32(16))) & _U32((1 << BITS) - 1)
             planes = np.zeros((c.rows, BITS, cfg.lanes * 64), np.uint8)
             for b in range(BITS):
                 planes[:, b, : cfg.n_hashes] = (low >> _U32(b)) & _U32(1)
@@ -174,47 +183,72 @@ def confirm(docs: DataFrame, pairs: DataFrame, cfg: NearConfig) -> DataFrame:
     return met.where(_reaches("shingles", "h_shingles", cfg)).select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
 
 
-def _open_groups(groups: DataFrame, components: DataFrame) -> DataFrame:
+def _with_group(rows: DataFrame, groups: DataFrame, cfg: NearConfig) -> DataFrame:
+    """``rows`` joined by ``hub`` with ``groups`` (a few rows per group, key g_hub)."""
+    groups = checkpointed(groups)
+    n = groups.count()
+    if n <= cfg.broadcast_rows:
+        return rows.join(F.broadcast(groups), F.col("hub") == F.col("g_hub")).drop("g_hub")
+    salted = groups.withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
+    salt = F.pmod(F.xxhash64("id"), F.lit(cfg.salts)).cast("int")
+    return rows.join(salted, (F.col("hub") == F.col("g_hub")) & (salt == F.col("g_salt"))).drop("g_hub", "g_salt")
+
+
+def _open_groups(groups: DataFrame, components: DataFrame, cfg: NearConfig) -> DataFrame:
     """Rows of the groups that span components, with ``comp`` and the group's largest component ``main``."""
-    labelled = groups.join(components, groups["id"] == components["node"], "left").select(*groups.columns, F.coalesce("component", "id").alias("comp"))
+    labelled = checkpointed(groups.join(components, groups["id"] == components["node"], "left").select(*groups.columns, F.coalesce("component", "id").alias("comp")))
     parts = labelled.groupBy("hub", "comp").agg(F.count("*").alias("n"))
-    spans = parts.groupBy(F.col("hub").alias("g_hub")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("group_rows")).where("lo < hi").drop("lo", "hi")
-    return labelled.join(spans, F.col("hub") == F.col("g_hub")).drop("g_hub")
+    spans = parts.groupBy(F.col("hub").alias("g_hub")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("n", "comp")).alias("largest"), F.sum("n").alias("group_rows"))
+    return _with_group(labelled, spans.where("lo < hi").select("g_hub", F.col("largest.comp").alias("main"), "group_rows"), cfg)
 
 
 def _pivot_pairs(opened: DataFrame, salt: int, cfg: NearConfig) -> DataFrame:
     """(id, hub): members against two pivots of their group, one inside and one outside its largest component."""
     drawn = F.struct(F.xxhash64("id", F.lit(salt)).alias("order"), "id", "comp", "n", "sig")
-    pivots = opened.groupBy(F.col("hub").alias("p_hub"), (F.col("comp") == F.col("main")).alias("inside")).agg(F.min(drawn).alias("p"))
-    met = opened.join(pivots, (F.col("hub") == F.col("p_hub")) & (F.col("comp") != F.col("p.comp")))
+    pivots = opened.groupBy(F.col("hub").alias("g_hub"), (F.col("comp") == F.col("main")).alias("inside")).agg(F.min(drawn).alias("p"))
+    met = _with_group(opened, pivots.select("g_hub", "p"), cfg).where(F.col("comp") != F.col("p.comp"))
     near = met.select("id", "n", "sig", F.col("p.id").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.sig").alias("p_sig")).where(_possible(cfg, "n", "p_n", "sig", "p_sig"))
     return near.select(F.greatest("id", "pivot").alias("id"), F.least("id", "pivot").alias("hub")).distinct()
 
 
 def _blocks(rows: DataFrame, cfg: NearConfig) -> DataFrame:
-    return rows.withColumn("blocks", F.ceil(F.col("group_rows") / cfg.block).cast("int"))
+    """With each row's size band, and the number of blocks of its group: linked sets lie at most one band apart."""
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(cfg.percent / 100)).cast("int")
+    return rows.withColumn("size_band", band).withColumn("blocks", F.ceil(F.col("group_rows") / cfg.block).cast("int"))
+
+
+def _meetings(rows: DataFrame, *more: Column) -> DataFrame:
+    """A row of the group's smaller components for every block and size band in which it may find partners."""
+    own = rows.select(F.col("hub").alias("a_hub"), F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"), *more, "blocks", "size_band")
+    bands = own.withColumn("a_band", F.explode(F.sequence(F.col("size_band") - 1, F.col("size_band") + 1)))
+    return bands.withColumn("a_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "size_band")
 
 
 def _settle(docs: DataFrame, opened: DataFrame, cfg: NearConfig) -> DataFrame:
     """The remaining links of groups that span components: exact, without a row per refuted pair."""
     blocked = _blocks(opened, cfg)
-    minor = blocked.where("comp <> main").select(F.col("hub").alias("a_hub"), F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a_block"))
+    minor = _meetings(blocked.where("comp <> main"))
     others = blocked.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    same = (F.col("a_hub") == F.col("hub")) & (F.col("a_block") == F.col("block"))
+    same = (F.col("a_hub") == F.col("hub")) & (F.col("a_block") == F.col("block")) & (F.col("a_band") == F.col("size_band"))
     apart = (F.col("a_comp") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("id")))
     maybe = same & apart & _possible(cfg, "a_n", "n", "a_sig", "sig")
     likely = compact(minor.join(others, maybe, "left_semi").select(F.col("a_hub").alias("hub"), F.col("a").alias("id")).distinct())
-    live = likely.select("hub").distinct()
-    rows = compact(others.join(live, "hub", "left_semi"))
+    live = likely.select(F.col("hub").alias("g_hub")).distinct()
+    rows = compact(_with_group(others, live, cfg))
     sets = shingle_rows(docs, rows.select("id", "hub"), cfg).select(F.col("doc_id").alias("s_id"), F.col("hub").alias("s_hub"), "shingles")
     full = rows.join(sets, (F.col("id") == F.col("s_id")) & (F.col("hub") == F.col("s_hub"))).drop("s_id", "s_hub")
-    a = full.join(likely, ["hub", "id"], "left_semi").select(F.col("hub").alias("a_hub"), F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"), F.col("shingles").alias("a_shingles"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a_block"))
+    a = _meetings(full.join(likely, ["hub", "id"], "left_semi"), F.col("shingles").alias("a_shingles"))
     met = a.join(full, maybe & _reaches("a_shingles", "shingles", cfg))
     return met.select(F.greatest("a", "id").alias("u"), F.least("a", "id").alias("v")).distinct()
 
 
 def near_components(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept."""
+    return _components(docs, cfg, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _components(docs: DataFrame, cfg: NearConfig, id_col: str, text_col: str) -> DataFrame:
+    """As near_components, with the digest (d1) of each row's set."""
     slim = _slim(docs, id_col, text_col)
     marks = written(signatures(docs, cfg, id_col, text_col), "signatures")
     classes = checkpointed(marks.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")))
@@ -234,20 +268,23 @@ def near_components(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str
     links = compact(confirm(slim, pairs.select("id", "hub"), cfg))
     for salt in range(cfg.pivot_rounds):
         known = connected_components(links)
-        met = compact(_pivot_pairs(checkpointed(_open_groups(groups, known)), salt, cfg))
+        met = compact(_pivot_pairs(checkpointed(_open_groups(groups, known, cfg)), salt, cfg))
         links = compact(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(confirm(slim, met, cfg)))
     known = connected_components(links)
-    opened = compact(_open_groups(groups, known), 50_000)
+    opened = compact(_open_groups(groups, known, cfg), 50_000)
     final = connected_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_settle(slim, opened, cfg)))
 
     of_class = classes.join(final, classes["rep"] == final["node"], "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     light = marks.select("doc_id", "n_shingles", "d1", "d2")
     joined = light.join(of_class, ["n_shingles", "d1", "d2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return joined.select("doc_id", "n_shingles", "d1", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, cfg: NearConfig = NearConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, same columns. Rows with a null id stay."""
-    gone = checkpointed(near_components(docs, cfg, id_col, text_col).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small_side(gone, gone.count(), cfg.broadcast_rows), docs[id_col] == gone["__gone"], "left_anti")
+    """``docs`` with one document of each component, same columns. Rows with a null id, or with an id that
+    stands on different texts, stay."""
+    of_id = _components(docs, cfg, id_col, text_col).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.max("kept").alias("kept"))
+    name = free_names(docs.columns, "__gone")[0]
+    gone = checkpointed(of_id.where("lo = hi AND NOT kept").select(F.col("doc_id").alias(name)))
+    return docs.join(small_side(gone, gone.count(), cfg.broadcast_rows), docs[id_col].cast("long") == gone[name], "left_anti")
