@@ -1,6 +1,7 @@
 """Operator 2, mixing sources to target weights by soft membership (native: DataFrame functions only).
 
-1. A labelled table trains a naive Bayes classifier over the presence of words and word endings: at most
+1. A labelled table trains a naive Bayes classifier over the presence of words and word endings and the share
+   of distinct words (repetitive texts have no junk words of their own): at most
    ``most_rows`` labelled texts (that bound is the parameter; rows drawn by a hash of the id, equal texts
    counted once) are counted per (feature, domain) by a two-phase aggregate. Features are kept by a
    likelihood-ratio test of their document counts (``least_g``), ``most_features`` a domain at most: a word
@@ -9,23 +10,30 @@
    of all counts, by the texts that it was seen in. The odds that texts with features start from are set
    so that the posteriors of the labelled texts sum to the domains' counts.
 2. Every text gets its domain posteriors in one expression over its words; nothing is exploded.
-3. Nonnegative rates r_i, one per document, are fitted to
+3. Nonnegative rates r_i, one per document and at most ``most_copies`` (one: nothing is repeated), are fitted to
 
-       min  1/2 sum_k (sum_i w_i p_ik r_i - t_k)^2  +  ridge / 2 sum_i w_i (r_i - 1)^2 ,  r >= 0
+       min  1/2 sum_k x_k^2 / s_k  +  ridge / 2 sum_i w_i (r_i - 1)^2 ,  0 <= r_i <= most_copies
 
-   where w_i = n_i / T is the document's share of all T tokens, p_ik its posterior, and t_k the target
-   totals over T. Accelerated projected gradient in the metric of the w_i: a step needs the K expected
-   domain totals only, one distributed sum. Between written states (every ``fold`` steps) a document's
-   rate is re-derived from its posteriors by folding over the few gradients since, K numbers each.
+   where w_i = n_i / T is the document's share of all T tokens, p_ik its posterior, E_k = sum_i w_i p_ik r_i the
+   expected tokens of a domain, s_k its target weight, and x_k = E_k - s_k sum_j E_j how far the domain is
+   from that weight of all that stays (with a ``budget``: x_k = E_k - budget s_k). Accelerated projected gradient
+   in the metric of the w_i: a step needs the K expected domain totals only, one distributed sum. Between
+   written states (every ``fold`` steps) a document's rate is re-derived from its posteriors by folding over
+   the few gradients since, K + 2 numbers each. It stops when every domain is within ``tolerance`` of its
+   target, as a share of it.
+4. A document is drawn by a hash of its id and text against its rate. What chance then leaves between drawn
+   and target totals is taken out by K offsets c, the rate used being r_i + sum_k c_k p_ik within its bounds: a few
+   Newton steps, one distributed sum each.
 
-Targets are weights. By default (``budget`` None) they are scaled so that the first domain keeps all its
-tokens, and no domain is asked for more than it has: rates stay near or below one, so nothing need be
-repeated, and clean documents aren't thinned out because another domain is scarce.
+Targets are weights. A domain after the first that has less than its target keeps what it has, and the others
+share the rest in their proportions (``scarce`` "keep"): clean documents aren't thinned out because another domain
+is rare. With ``scarce`` "thin" the weights are met as they are stated, whatever has to go for it.
 
 Domains here are the label classes: good (quality 1, not toxic), poor (quality 0, not toxic), toxic.
-Edge cases: null or blank texts have the prior as posteriors and no tokens, so rate 1; null ids and
-repeated rows are scored each; labels with nulls or without a text are ignored; without usable labels
-posteriors are the uniform prior; an empty table gives an empty result; ``resample`` keeps all columns.
+Edge cases: null or blank texts have the prior as posteriors and no tokens; null ids and repeated rows are
+scored each (rows with equal id and text share their draw); labels with nulls or without a text are ignored;
+without usable labels posteriors are the uniform prior and no row goes; an empty table gives an empty result;
+``resample`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, checkpointed
+from .common import SPACE_CHARS, checkpointed, free_names
 
 DOMAINS = ("good", "poor", "toxic")
 
@@ -44,15 +52,17 @@ DOMAINS = ("good", "poor", "toxic")
 @dataclass(frozen=True)
 class MixConfig:
     targets: tuple[float, ...] = (0.96, 0.03, 0.01)  # token weights of DOMAINS after mixing
-    budget: float | None = None  # tokens after mixing, as a multiple of the tokens before
+    budget: float | None = None  # tokens after mixing, as a multiple of the tokens before; None: as many as the weights leave
+    scarce: str = "keep"  # or "thin": see above
+    most_copies: float = 1.0
     most_rows: int = 20_000
     most_features: int = 1000  # per domain, the most significant ones
     least_g: float = 15.1  # least G statistic of a feature (chance 1e-4, one degree of freedom)
     ridge: float = 0.001
-    steps: int = 40
+    steps: int = 60
     fold: int = 10
-    tolerance: float = 1e-4
-    certain: float = 0.8  # rates from here on keep a document for sure
+    tolerance: float = 0.002
+    draw_steps: int = 6
     seed: int = 11
 
 
@@ -73,13 +83,20 @@ def words(text: Column) -> Column:
 
 
 def features(found: Column, known=None) -> Column:
-    """Distinct words, and their last three characters after a blank (which no word holds); of ``known`` alone, if given."""
+    """Distinct words, their last three characters after a blank (which no word holds), and after two the tenth
+    in which the share of distinct words lies; of ``known`` alone, if given."""
     endings = F.transform(found, lambda w: F.substring(w, -3, 3))
+    distinct = F.array_distinct(found)
+    tenth = F.concat(F.lit("  distinct "), F.floor(10 * F.size(distinct) / F.greatest(F.size(found), F.lit(1))).cast("string"))
+    variety = F.array(tenth)
     if known is not None:
-        only = lambda of, names: F.filter(of, lambda w: w.isin(names)) if names else F.array().cast("array<string>")
-        found = only(found, [w for w in known if w[0] != " "])
-        endings = only(endings, [w[1:] for w in known if w[0] == " "])
-    return F.concat(F.array_distinct(found), F.transform(F.array_distinct(endings), lambda w: F.concat(F.lit(" "), w)))
+        none = F.array().cast("array<string>")
+        only = lambda of, names: F.filter(of, lambda w: w.isin(names)) if names else none
+        distinct = only(distinct, [w for w in known if w[0] != " "])
+        endings = only(endings, [w[1:] for w in known if w[0] == " " and w[1] != " "])
+        tenths = [w for w in known if w[:2] == "  "]
+        variety = F.when(tenth.isin(tenths), variety).otherwise(none) if tenths else none
+    return F.concat(distinct, F.transform(F.array_distinct(endings), lambda w: F.concat(F.lit(" "), w)), F.when(F.size(found) > 0, variety).otherwise(F.array().cast("array<string>")))
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -161,30 +178,32 @@ def _adder(added: dict[str, tuple[float, ...]]):
     return lambda acc, w: acc if table is None else F.struct(*[(acc[f"s{d}"] + table[w][f"s{d}"]).alias(f"s{d}") for d in range(len(DOMAINS) - 1)])
 
 
-def with_posteriors(docs: DataFrame, model: Model, cfg: MixConfig, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__n`` (words; those of punctuation alone don't count) and ``__p`` (array of domain posteriors)."""
+def with_posteriors(docs: DataFrame, model: Model, cfg: MixConfig, text_col: str = "text", names: tuple[str, str] = ("__n", "__p")) -> DataFrame:
+    """``docs`` with two more columns: words (those of punctuation alone don't count), and the array of domain posteriors."""
     k = len(model.base)
-    marked = docs.withColumn("__w", F.array_remove(words(F.col(text_col)), "")).withColumn("__n", F.size("__w").cast("long"))
+    found, known = free_names([*docs.columns, *names], "__w", "__h")
+    marked = docs.withColumn(found, F.array_remove(words(F.col(text_col)), "")).withColumn(names[0], F.size(found).cast("long"))
+
     def finish(acc: Column) -> Column:
         top = F.greatest(F.lit(0.0), *[acc[f"s{d}"] for d in range(k)])
         e = [F.exp(-top)] + [F.exp(acc[f"s{d}"] - top) for d in range(k)]
         return F.array(*[x / sum(e[1:], e[0]) for x in e])
 
     # one fold from the text's known words to its posteriors: nothing in it is evaluated per domain
-    marked = marked.withColumn("__h", features(F.col("__w"), list(model.added)))
-    start = F.when(F.size("__h") == 0, _odds(model.none)).otherwise(_odds(model.base))
-    return marked.withColumn("__p", F.aggregate("__h", start, _adder(model.added), finish)).drop("__w", "__h")
+    marked = marked.withColumn(known, features(F.col(found), list(model.added)))
+    start = F.when(F.size(known) == 0, _odds(model.none)).otherwise(_odds(model.base))
+    return marked.withColumn(names[1], F.aggregate(known, start, _adder(model.added), finish)).drop(found, known)
 
 
-def _rate(steps: list[list[float]], r0: Column, y0: Column, a: Column, eta: float, ridge: float) -> Column:
-    """(rate, look-ahead) after the given steps, each [excess of domain 0.., momentum], from a written state."""
+def _rate(steps: list[list[float]], r0: Column, y0: Column, a: Column, eta: float, cfg: MixConfig) -> Column:
+    """(rate, look-ahead) after the given steps, each [gradient of domain 0.., their mean by targets, momentum], from a written state."""
     k = len(DOMAINS)
     listed = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
 
     def one(acc: Column, s: Column) -> Column:
-        pull = sum((acc["a"][d] * s[d] for d in range(1, k)), acc["a"][0] * s[0]) + ridge * (acc["y"] - 1.0)
-        r = F.greatest(F.lit(0.0), acc["y"] - eta * pull)
-        return F.struct(r.alias("r"), (r + s[k] * (r - acc["r"])).alias("y"), acc["a"].alias("a"))
+        pull = sum((acc["a"][d] * s[d] for d in range(1, k)), acc["a"][0] * s[0]) - s[k] + cfg.ridge * (acc["y"] - 1.0)
+        r = F.least(F.lit(float(cfg.most_copies)), F.greatest(F.lit(0.0), acc["y"] - eta * pull))
+        return F.struct(r.alias("r"), (r + s[k + 1] * (r - acc["r"])).alias("y"), acc["a"].alias("a"))
 
     # the posteriors ride in the accumulator, so an expression behind them is evaluated once a row
     start = F.struct(r0.alias("r"), y0.alias("y"), a.alias("a"))
@@ -193,29 +212,50 @@ def _rate(steps: list[list[float]], r0: Column, y0: Column, a: Column, eta: floa
 
 @dataclass(frozen=True)
 class MixFit:
-    """The fit as K + 1 numbers a step: any row's rate can be replayed from its own posteriors."""
+    """The fit as K + 2 numbers a step: any row's rate can be replayed from its own posteriors."""
 
     steps: tuple[tuple[float, ...], ...]
     eta: float
-    excess: tuple[float, ...]  # expected domain totals minus targets, as shares of all tokens
-    targets: tuple[float, ...]
+    weights: tuple[float, ...]  # target weights met, after the rule for scarce domains
+    expected: tuple[float, ...]  # expected domain totals, as shares of all tokens before mixing
+    drawn: tuple[float, ...] = ()  # totals of the drawn documents
+    offsets: tuple[float, ...] = (0.0,) * len(DOMAINS)
+
+    def rate(self, p: Column, cfg: MixConfig) -> Column:
+        return _rate([list(s) for s in self.steps], F.lit(1.0), F.lit(1.0), p, self.eta, cfg)["r"]
 
-    def rate(self, p: Column, ridge: float) -> Column:
-        return _rate([list(s) for s in self.steps], F.lit(1.0), F.lit(1.0), p, self.eta, ridge)["r"]
+    def copies(self, rate: Column, p: Column, draw: Column, cfg: MixConfig) -> Column:
+        """How often a document with that draw is taken: its rate, moved by the offsets, rounded by chance."""
+        moved = sum((p[d] * F.lit(float(c)) for d, c in enumerate(self.offsets)), rate)
+        moved = F.least(F.lit(float(cfg.most_copies)), F.greatest(F.lit(0.0), moved))
+        return (F.floor(moved) + (draw < moved - F.floor(moved)).cast("long")).cast("int")
 
 
-def targets_of(totals: list[float], cfg: MixConfig) -> list[float]:
-    """Target totals per domain, as shares of all tokens before mixing."""
+def weights_of(totals: list[float], cfg: MixConfig) -> list[float]:
+    """Target weights, given the domain totals before mixing, by the rule for scarce domains."""
     whole = sum(cfg.targets)
-    weights = [t / whole for t in cfg.targets]
-    if cfg.budget is not None:
-        return [cfg.budget * w for w in weights]
-    budget = totals[0] / weights[0] if weights[0] > 0 else 1.0
-    return [min(budget * w, t) for w, t in zip(weights, totals, strict=True)]
+    wanted = [t / whole for t in cfg.targets]
+    if cfg.scarce == "thin" or cfg.budget is not None or not wanted[0]:
+        return wanted
+    scale = totals[0] / wanted[0]
+    held = [totals[0], *(min(scale * w, t) for w, t in zip(wanted[1:], totals[1:], strict=True))]
+    return [x / sum(held) for x in held] if sum(held) else wanted
+
+
+def draw_key(id_col: Column, text: Column, cfg: MixConfig) -> Column:
+    """A number in [0, 1) by id and text: the same in ``mix`` and ``resample``."""
+    return F.pmod(F.xxhash64(id_col.cast("long"), text, F.lit(cfg.seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def _distance(totals: list[float], weights: list[float], cfg: MixConfig) -> tuple[list[float], float]:
+    """(x_k, the greatest of |x_k| as a share of the domain's target)."""
+    whole = cfg.budget if cfg.budget is not None else sum(totals)
+    x = [t - w * whole for t, w in zip(totals, weights, strict=True)]
+    return x, max((abs(a) / (w * whole) for a, w in zip(x, weights, strict=True) if w * whole > 0), default=0.0)
 
 
 def fit_rates(marks: DataFrame, cfg: MixConfig = MixConfig()) -> tuple[DataFrame, MixFit]:
-    """``marks`` (with __n and __p) with ``__rate``, and the fit.
+    """``marks`` (with __n, __p and __u, the draw) with ``__rate``, and the fit.
 
     The step length comes from the K x K Gram matrix of the posteriors, one aggregate.
     """
@@ -224,62 +264,99 @@ def fit_rates(marks: DataFrame, cfg: MixConfig = MixConfig()) -> tuple[DataFrame
     k = len(DOMAINS)
     state = checkpointed(marks.withColumn("__r", F.lit(1.0)).withColumn("__y", F.lit(1.0)))
     tokens = state.agg(F.sum("__n")).first()[0] or 0
+    nothing = MixFit((), 0.0, (0.0,) * k, (0.0,) * k, (0.0,) * k)
     if not tokens:
-        return state.withColumn("__rate", F.lit(1.0)).drop("__r", "__y"), MixFit((), 0.0, (0.0,) * k, (0.0,) * k)
+        return state.withColumn("__rate", F.lit(1.0)).drop("__r", "__y"), nothing
     total = lambda c: F.sum(F.col("__n") * c) / float(tokens)
     p = [F.col("__p")[d] for d in range(k)]
     gram = state.agg(*[total(p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)], *[total(p[i]).alias(f"t{i}") for i in range(k)]).first()
     g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    target = targets_of([gram[f"t{i}"] for i in range(k)], cfg)
-    eta = 1.0 / (float(np.linalg.eigvalsh(g)[-1]) + cfg.ridge)
+    weights = weights_of([gram[f"t{i}"] for i in range(k)], cfg)
+    scale = np.array([max(w, 1e-6) for w in weights])
+    project = np.eye(k) - (np.outer(weights, np.ones(k)) if cfg.budget is None else 0.0)
+    inner = project @ g @ project.T / np.sqrt(np.outer(scale, scale))
+    eta = 1.0 / (float(np.linalg.eigvalsh(inner)[-1]) + cfg.ridge)
     steps: list[list[float]] = []
     history: list[tuple[float, ...]] = []
-    theta, excess, before = 1.0, [0.0] * k, float("inf")
-    for number in range(cfg.steps):
-        now = _rate(steps, F.col("__r"), F.col("__y"), F.col("__p"), eta, cfg.ridge)
+    theta, before, totals = 1.0, float("inf"), [0.0] * k
+    for number in range(cfg.steps + 1):
+        now = _rate(steps, F.col("__r"), F.col("__y"), F.col("__p"), eta, cfg)
         at = state.select("__n", "__p", now["y"].alias("y")).agg(*[total(p[i] * F.col("y")).alias(f"e{i}") for i in range(k)]).first()
-        excess = [at[f"e{i}"] - target[i] for i in range(k)]
-        size = max(abs(x) for x in excess)
-        if size > before:
+        totals = [at[f"e{i}"] for i in range(k)]
+        x, away = _distance(totals, weights, cfg)
+        if away <= cfg.tolerance or number == cfg.steps:
+            break
+        if away > before:
             theta = 1.0  # restart the momentum
         following = (1.0 + math.sqrt(1.0 + 4.0 * theta * theta)) / 2.0
-        steps.append([*excess, (theta - 1.0) / following])
+        pull = [a / float(c) for a, c in zip(x, scale, strict=True)]
+        mean = sum(a * w for a, w in zip(pull, weights, strict=True)) if cfg.budget is None else 0.0
+        steps.append([*pull, mean, (theta - 1.0) / following])
         history.append(tuple(steps[-1]))
-        settled = abs(before - size) < cfg.tolerance * max(size, 1e-12) and number > 3
-        theta, before = following, size
+        theta, before = following, away
         if len(steps) == cfg.fold:
-            moved = _rate(steps, F.col("__r"), F.col("__y"), F.col("__p"), eta, cfg.ridge)
+            moved = _rate(steps, F.col("__r"), F.col("__y"), F.col("__p"), eta, cfg)
             state = checkpointed(state.withColumn("__s", moved).withColumn("__r", F.col("__s.r")).withColumn("__y", F.col("__s.y")).drop("__s"))
             steps = []
-        if settled:
+    last = _rate(steps, F.col("__r"), F.col("__y"), F.col("__p"), eta, cfg)
+    done = checkpointed(state.withColumn("__rate", last["r"]).drop("__r", "__y"))
+    expected = done.agg(*[total(p[i] * F.col("__rate")) for i in range(k)]).first()
+    fit = MixFit(tuple(history), eta, tuple(weights), tuple(expected))
+    return done, _drawn(done, fit, total, cfg)
+
+
+def _drawn(done: DataFrame, fit: MixFit, total, cfg: MixConfig) -> MixFit:
+    """The fit with the offsets that bring the drawn totals nearest to the targets."""
+    from dataclasses import replace
+
+    import numpy as np
+
+    k = len(DOMAINS)
+    best, nearest = fit, float("inf")
+    for _ in range(cfg.draw_steps):
+        copies = fit.copies(F.col("__rate"), F.col("__p"), F.col("__u"), cfg)
+        free = ((F.col("__rate") > 0) & (F.col("__rate") < cfg.most_copies)).cast("int")
+        rows = done.select("__n", "__p", copies.alias("copies"), free.alias("free"))
+        p = [F.col("__p")[d] for d in range(k)]
+        sums = rows.agg(*[total(p[i] * F.col("copies")).alias(f"e{i}") for i in range(k)], *[total(p[i] * p[j] * F.col("free")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        totals = [sums[f"e{i}"] for i in range(k)]
+        x, away = _distance(totals, list(fit.weights), cfg)
+        if away < nearest:
+            best, nearest = replace(fit, drawn=tuple(totals)), away
+        if away <= cfg.tolerance:
             break
-    last = _rate(steps, F.col("__r"), F.col("__y"), F.col("__p"), eta, cfg.ridge)
-    done = state.withColumn("__rate", last["r"]).drop("__r", "__y")
-    return done, MixFit(tuple(history), eta, tuple(excess), tuple(target))
+        g = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        project = np.eye(k) - (np.outer(fit.weights, np.ones(k)) if cfg.budget is None else 0.0)
+        scale = np.array([max(w, 1e-6) for w in fit.weights])[:, None]
+        step = np.linalg.lstsq(project @ g / scale, -np.array(x)[:, None] / scale, rcond=1e-6)[0][:, 0]
+        fit = replace(fit, offsets=tuple(float(a + b) for a, b in zip(fit.offsets, step, strict=True)))
+    return best
 
 
-def chosen(rate: Column, *key: Column, cfg: MixConfig = MixConfig()) -> Column:
-    """Whether a document stays: for sure from rate ``certain``, else with its rate as probability (by hash)."""
-    draw = F.pmod(F.xxhash64(*key, F.lit(cfg.seed)), F.lit(1 << 30)) / float(1 << 30)
-    return (rate >= cfg.certain) | (draw < rate)
+def _slim(docs: DataFrame, id_col: str, text_col: str, cfg: MixConfig) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), draw_key(F.col(id_col), F.col(text_col), cfg).alias("__u"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_tokens, p_good, p_poor, p_toxic, rate, kept."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = with_posteriors(slim, train(docs, labels, cfg, id_col, text_col), cfg).drop("text")
-    fitted, _ = fit_rates(marks, cfg)
-    return fitted.select("doc_id", F.col("__n").alias("n_tokens"), *[F.col("__p")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)], F.col("__rate").alias("rate"), chosen(F.col("__rate"), F.col("doc_id"), cfg=cfg).alias("kept"))
+    """A row per document: doc_id, n_tokens, p_good, p_poor, p_toxic, rate, copies, kept."""
+    marks = with_posteriors(_slim(docs, id_col, text_col, cfg), train(docs, labels, cfg, id_col, text_col), cfg).drop("text")
+    fitted, fit = fit_rates(marks, cfg)
+    copies = fit.copies(F.col("__rate"), F.col("__p"), F.col("__u"), cfg)
+    return fitted.select("doc_id", F.col("__n").alias("n_tokens"), *[F.col("__p")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)], F.col("__rate").alias("rate"), copies.alias("copies"), (copies > 0).alias("kept"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` after mixing, same columns: each row stays or goes by its own rate, none is repeated.
+    """``docs`` after mixing, same columns: each row as often as its own rate and draw say (at most once by default).
 
     The fit's short list of steps gives any row's rate from its own posteriors, so rows are
     judged in the scan that keeps them, without a join.
     """
     model = train(docs, labels, cfg, id_col, text_col)
-    _, fit = fit_rates(with_posteriors(docs.select(F.col(text_col).alias("text")), model, cfg, "text").drop("text"), cfg)
-    marked = with_posteriors(docs, model, cfg, text_col)
-    rate = fit.rate(F.col("__p"), cfg.ridge)
-    return marked.where(chosen(rate, F.col(id_col), F.col(text_col), cfg=cfg)).select(*docs.columns)
+    _, fit = fit_rates(with_posteriors(_slim(docs, id_col, text_col, cfg).drop("doc_id"), model, cfg).drop("text"), cfg)
+    n, p, often = free_names(docs.columns, "__n", "__p", "__copies")
+    marked = with_posteriors(docs, model, cfg, text_col, (n, p))
+    copies = fit.copies(fit.rate(F.col(p), cfg), F.col(p), draw_key(F.col(id_col), F.col(text_col), cfg), cfg)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if cfg.most_copies <= 1:
+        return marked.where(copies > 0).select(*names)
+    return marked.withColumn(often, copies).where(F.col(often) > 0).select(*names, F.explode(F.sequence(F.lit(1), F.col(often))).alias(often)).select(*names)

@@ -86,7 +86,15 @@ def test_near(docs, nothing):
 def test_mixing(docs, nothing, labels):
     rows = mixing.mix(docs, labels).collect()
     assert len(rows) == len(ROWS) and all(r.rate >= 0 and abs(r.p_good + r.p_poor + r.p_toxic - 1) < 1e-9 for r in rows)
-    assert mixing.resample(docs, labels).columns == docs.columns
+    clashing = docs.selectExpr("*", "1 AS __n", "2 AS __p", "3 AS __w", "4 AS __copies")
+    kept = sorted(r.doc_id or 0 for r in rows if r.kept)
+    for cfg in (mixing.MixConfig(), mixing.MixConfig(most_copies=3.0, scarce="thin")):
+        again = mixing.resample(clashing, labels, cfg)
+        assert again.columns == clashing.columns
+        if cfg.most_copies == 1:
+            assert sorted(r.doc_id or 0 for r in again.collect()) == kept and all(0 <= r.rate <= 1 for r in rows)
+        else:
+            assert len(again.collect()) == sum(r.copies for r in mixing.mix(docs, labels, cfg).collect())
     assert mixing.mix(nothing, labels).count() == 0 and mixing.resample(nothing, labels).count() == 0
     assert len({round(r.p_good, 9) for r in mixing.mix(docs, labels.limit(0)).collect()}) == 1
 

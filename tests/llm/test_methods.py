@@ -309,15 +309,19 @@ def test_trigram_dictionary_is_exact(spark):
 
 def test_mixing_fit_is_optimal(spark):
     r = np.random.default_rng(3)
-    rows = [(int(n), [float(x) for x in p]) for n, p in zip(r.integers(1, 400, 300), r.dirichlet([0.3, 0.2, 0.2], 300), strict=True)]
-    cfg = mixing.MixConfig(ridge=0.05, steps=150, tolerance=0.0)
-    fitted, fit = mixing.fit_rates(spark.createDataFrame(rows, "__n long, __p array<double>"), cfg)
-    got = fitted.collect()
-    rate, p, n = np.array([x["__rate"] for x in got]), np.array([x["__p"] for x in got]), np.array([x["__n"] for x in got])
-    excess = (p * (n * rate)[:, None]).sum(0) / n.sum() - np.array(fit.targets)
-    assert np.abs(np.maximum(0, 1 - p @ excess / cfg.ridge) - rate).max() < 0.02 and (rate >= 0).all()
-    replay = [x["r"] for x in fitted.select(fit.rate(fitted["__p"], cfg.ridge).alias("r")).collect()]
-    assert replay == pytest.approx(list(rate))
+    rows = [(int(n), [float(x) for x in p], float(u)) for n, p, u in zip(r.integers(1, 400, 300), r.dirichlet([0.5, 0.3, 0.3], 300), r.random(300), strict=True)]
+    for budget in (None, 0.4):
+        cfg = mixing.MixConfig(targets=(0.8, 0.15, 0.05), ridge=0.05, steps=200, tolerance=0.0, draw_steps=1, budget=budget)
+        fitted, fit = mixing.fit_rates(spark.createDataFrame(rows, "__n long, __p array<double>, __u double"), cfg)
+        got = fitted.collect()
+        rate, p, n = np.array([x["__rate"] for x in got]), np.array([x["__p"] for x in got]), np.array([x["__n"] for x in got])
+        totals = (p * (n * rate)[:, None]).sum(0) / n.sum()
+        weights = np.array(fit.weights)
+        pull = (totals - weights * (totals.sum() if budget is None else budget)) / weights
+        slope = p @ pull - (pull @ weights if budget is None else 0.0)
+        assert np.abs(np.clip(1 - slope / cfg.ridge, 0, 1) - rate).max() < 0.02 and 0 < rate.min() + rate.max() < 2
+        replay = [x["r"] for x in fitted.select(fit.rate(fitted["__p"], cfg).alias("r")).collect()]
+        assert replay == pytest.approx(list(rate)) and fit.expected == pytest.approx(list(totals))
 
 
 def test_quality_thresholds_adapt(spark):
