@@ -60,6 +60,7 @@ class NearConfig:
     seed: int = 20240229
     broadcast_rows: int = 200_000  # ids with at most ``bands`` hubs each: 70 MB at most, else a shuffle join
     salts: int = 16
+    members: int = 256  # of a hub, in one part of the join that confirms its pairs
 
     @property
     def n_hashes(self) -> int:
@@ -156,14 +157,14 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame, cfg: NearConfig) -> DataFrame:
-    """(doc_id, hub, shingles): the full set of each document named by ``wanted`` (id, hub), once per hub.
+    """(doc_id, hub, part, shingles): the full set of each document named by ``wanted`` (id, hub, part), once per row.
 
     Sets are hashed anew from the texts; a document has at most one hub per band.
     """
-    rows = compact(wanted.groupBy(F.col("id").alias("w_id")).agg(F.collect_set("hub").alias("hubs")))
+    rows = compact(wanted.groupBy(F.col("id").alias("w_id")).agg(F.collect_set(F.struct("hub", "part")).alias("hubs")))
     texts = docs.join(small_side(rows, rows.count(), cfg.broadcast_rows), docs["doc_id"] == rows["w_id"]).select("doc_id", "text", "hubs")
-    sets = texts.mapInArrow(lambda it: _sets(it, cfg.words), "doc_id long, hubs array<long>, shingles array<long>")
-    return sets.select("doc_id", F.explode("hubs").alias("hub"), "shingles")
+    sets = texts.mapInArrow(lambda it: _sets(it, cfg.words), "doc_id long, hubs array<struct<hub: long, part: int>>, shingles array<long>")
+    return sets.select("doc_id", F.explode("hubs").alias("h"), "shingles").select("doc_id", "h.hub", "h.part", "shingles")
 
 
 def _reaches(a: str, b: str, cfg: NearConfig) -> Column:
@@ -174,12 +175,16 @@ def _reaches(a: str, b: str, cfg: NearConfig) -> Column:
 def confirm(docs: DataFrame, pairs: DataFrame, cfg: NearConfig) -> DataFrame:
     """Of ``pairs`` (id, hub), the links (u, v) whose full shingle sets reach the threshold.
 
-    A member's set travels once per hub that it is held against; a hub's own set travels once.
+    A member's set travels once per hub that it is held against; a hub's own set travels once per part of
+    ``members`` of its members, so neither a set nor a hub's whole group meets in one task.
     """
-    own = pairs.select(F.col("hub").alias("id"), "hub").distinct()
-    sent = shingle_rows(docs, pairs.unionByName(own), cfg)
-    hubs = sent.where("doc_id = hub").select(F.col("hub").alias("h"), F.col("shingles").alias("h_shingles"))
-    met = sent.where("doc_id <> hub").join(hubs, F.col("hub") == F.col("h"))
+    pairs = compact(pairs.select("id", "hub"))
+    sizes = pairs.groupBy(F.col("hub").alias("g_hub")).agg(F.ceil(F.count("*") / cfg.members).cast("int").alias("parts"))
+    members = _with_group(pairs, sizes, cfg).select("id", "hub", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    own = sizes.select(F.col("g_hub").alias("id"), F.col("g_hub").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    sent = shingle_rows(docs, members.unionByName(own), cfg)
+    hubs = sent.where("doc_id = hub").select(F.col("hub").alias("h"), F.col("part").alias("h_part"), F.col("shingles").alias("h_shingles"))
+    met = sent.where("doc_id <> hub").join(hubs, (F.col("hub") == F.col("h")) & (F.col("part") == F.col("h_part")))
     return met.where(_reaches("shingles", "h_shingles", cfg)).select(F.col("doc_id").alias("u"), F.col("hub").alias("v"))
 
 
@@ -235,7 +240,7 @@ def _settle(docs: DataFrame, opened: DataFrame, cfg: NearConfig) -> DataFrame:
     likely = compact(minor.join(others, maybe, "left_semi").select(F.col("a_hub").alias("hub"), F.col("a").alias("id")).distinct())
     live = likely.select(F.col("hub").alias("g_hub")).distinct()
     rows = compact(_with_group(others, live, cfg))
-    sets = shingle_rows(docs, rows.select("id", "hub"), cfg).select(F.col("doc_id").alias("s_id"), F.col("hub").alias("s_hub"), "shingles")
+    sets = shingle_rows(docs, rows.select("id", "hub", F.lit(0).alias("part")), cfg).select(F.col("doc_id").alias("s_id"), F.col("hub").alias("s_hub"), "shingles")
     full = rows.join(sets, (F.col("id") == F.col("s_id")) & (F.col("hub") == F.col("s_hub"))).drop("s_id", "s_hub")
     a = _meetings(full.join(likely, ["hub", "id"], "left_semi"), F.col("shingles").alias("a_shingles"))
     met = a.join(full, maybe & _reaches("a_shingles", "shingles", cfg))
@@ -263,8 +268,8 @@ def _components(docs: DataFrame, cfg: NearConfig, id_col: str, text_col: str) ->
     own = stars.select(F.col("hub").alias("id"), "hub").distinct()
     groups = written(stars.unionByName(own).join(marks_of, F.col("id") == F.col("m_id")).drop("m_id"), "groups")
 
-    heads = groups.where("id = hub").select(F.col("hub").alias("h"), F.col("n").alias("h_n"), F.col("sig").alias("h_sig"))
-    pairs = groups.where("id <> hub").join(heads, F.col("hub") == F.col("h")).where(_possible(cfg, "n", "h_n", "sig", "h_sig"))
+    heads = groups.where("id = hub").select(F.col("hub").alias("g_hub"), F.col("n").alias("h_n"), F.col("sig").alias("h_sig"))
+    pairs = _with_group(groups.where("id <> hub"), heads, cfg).where(_possible(cfg, "n", "h_n", "sig", "h_sig"))
     links = compact(confirm(slim, pairs.select("id", "hub"), cfg))
     for salt in range(cfg.pivot_rounds):
         known = connected_components(links)
