@@ -227,8 +227,13 @@ class MixFit:
     def copies(self, rate: Column, p: Column, draw: Column, cfg: MixConfig) -> Column:
         """How often a document with that draw is taken: its rate, moved by the offsets, rounded by chance."""
         moved = sum((p[d] * F.lit(float(c)) for d, c in enumerate(self.offsets)), rate)
-        moved = F.least(F.lit(float(cfg.most_copies)), F.greatest(F.lit(0.0), moved))
-        return (F.floor(moved) + (draw < moved - F.floor(moved)).cast("long")).cast("int")
+        held = F.least(F.lit(float(cfg.most_copies)), F.greatest(F.lit(0.0), moved))
+        return _once(held, lambda x: (F.floor(x) + (draw < x - F.floor(x)).cast("long")).cast("int"))
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once: a lambda's variable, where a column would be written out at each place."""
+    return F.transform(F.array(value), use)[0]
 
 
 def weights_of(totals: list[float], cfg: MixConfig) -> list[float]:
@@ -355,7 +360,7 @@ def resample(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), i
     _, fit = fit_rates(with_posteriors(_slim(docs, id_col, text_col, cfg).drop("doc_id"), model, cfg).drop("text"), cfg)
     n, p, often = free_names(docs.columns, "__n", "__p", "__copies")
     marked = with_posteriors(docs, model, cfg, text_col, (n, p))
-    copies = fit.copies(fit.rate(F.col(p), cfg), F.col(p), draw_key(F.col(id_col), F.col(text_col), cfg), cfg)
+    copies = _once(F.col(p), lambda x: fit.copies(fit.rate(x, cfg), x, draw_key(F.col(id_col), F.col(text_col), cfg), cfg))
     names = [F.col(f"`{c}`") for c in docs.columns]
     if cfg.most_copies <= 1:
         return marked.where(copies > 0).select(*names)
