@@ -31,6 +31,16 @@ def parser() -> argparse.ArgumentParser:
     c = command("hybrid-forecast", "data", "start")
     c.add_argument("--hours", type=int, default=72)
     c.add_argument("--allow-stale-context", action="store_true")
+    c.add_argument("--fitted", help="folder of residual-train; else models are trained on what lies before the start")
+    c.add_argument("--mode", choices=("forecast", "hindcast"), default="forecast")
+    c.add_argument("--end", help="of a hindcast")
+    c.add_argument("--window", type=int, default=168)
+    c = command("residual-train", "data")
+    c.add_argument("--window", type=int, default=168)
+    c = command("events-validate", "model", "reference-events")
+    c = command("extract-hourly", "words", "headers")
+    c = command("extract-events", "chars", "headers")
+    command("summary", "summaries")
     c = command("validate-forecast", "data", "start")
     c.add_argument("--days", type=int, default=7)
     c = command("tide-report", "forecast", "start")
@@ -38,7 +48,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--hours", type=int, default=24)
     c.add_argument("--height-column")
     c.add_argument("--observed-events")
-    command("events-train", "data")
+    c = command("events-train", "data")
+    c.add_argument("--trees", type=int, default=160)
+    c.add_argument("--depth", type=int, default=12)
     return p
 
 
@@ -51,18 +63,48 @@ def main(argv: list[str] | None = None) -> None:
         tables["summary"].show(truncate=False)
     elif a.command in ("forecast", "events-forecast"):
         hours = a.hours if a.hours is not None else 24 * a.days
-        model = spark.read.parquet(a.model)
         if a.command == "forecast":
+            model = spark.read.parquet(a.model)
             df = workflows.forecast(spark, model, a.start, hours, a.freq_minutes)
             df.write.mode("overwrite").parquet(a.out)
             df.show(24)
         else:
-            tables = workflows.events_forecast(spark, model, a.start, hours)
+            model, models = workflows.load_event_model(spark, a.model)
+            tables = workflows.events_forecast(spark, model, a.start, hours, models)
             workflows.save(tables, a.out)
             tables["frequency"].show(truncate=False)
     elif a.command == "hybrid-forecast":
         obs = io.read_hourly(spark, a.data).drop("t_hours")
-        workflows.hybrid(obs, a.start, a.hours, a.allow_stale_context).write.mode("overwrite").parquet(a.out)
+        fitted = workflows.load_residual(spark, a.fitted) if a.fitted else None
+        if a.mode == "hindcast":
+            if not fitted or not a.end:
+                raise SystemExit("a hindcast needs --fitted and --end")
+            df = workflows.hybrid_hindcast(obs, a.start, a.end, fitted, a.window)
+        else:
+            df = workflows.hybrid(obs, a.start, a.hours, a.allow_stale_context, fitted, a.window)
+        df.write.mode("overwrite").parquet(a.out)
+    elif a.command == "residual-train":
+        tables = workflows.train_residual(io.read_hourly(spark, a.data).drop("t_hours"), a.window)
+        workflows.save(tables, a.out)
+        tables["skill"].show()
+    elif a.command == "events-validate":
+        references = io.read_events(spark, a.reference_events)
+        tables = workflows.validate_events(*workflows.load_event_model(spark, a.model), references)
+        workflows.save(tables, a.out)
+        tables["metrics"].show(truncate=False)
+    elif a.command == "extract-hourly":
+        rows = workflows.extract_hourly(spark.read.parquet(a.words), spark.read.parquet(a.headers))
+        io.write_csv(rows.select("port", "datetime_ist", "height_m"), a.out, ["port", "datetime_ist"])
+    elif a.command == "extract-events":
+        events, faults = workflows.extract_events(spark.read.parquet(a.chars), spark.read.parquet(a.headers))
+        found = [f"{r.port} {r['at']}: {r.fault}" for r in faults.limit(20).collect()]
+        if found:
+            raise SystemExit("faulty tables: " + "; ".join(found))
+        io.write_csv(events, a.out, ["port", "datetime_ist"])
+    elif a.command == "summary":
+        report = workflows.summary_report(spark.read.parquet(a.summaries))
+        report.write.mode("overwrite").parquet(a.out)
+        report.show(truncate=False)
     elif a.command == "validate-forecast":
         obs = io.read_hourly(spark, a.data).drop("t_hours")
         tables = workflows.validate_forecast(obs, workflows.hybrid(obs, a.start, 24 * a.days))
@@ -75,7 +117,9 @@ def main(argv: list[str] | None = None) -> None:
         workflows.save(tables, a.out)
         tables["frequency"].show(truncate=False)
     elif a.command == "events-train":
-        harmonic.fit(io.read_hourly(spark, a.data), trend=True, nodal=True, rayleigh=True).write.mode("overwrite").parquet(a.out)
+        model, models, report = workflows.train_events(io.read_hourly(spark, a.data).drop("t_hours"), trees=a.trees, depth=a.depth)
+        workflows.save_event_model(model, models, report, a.out)
+        spark.read.parquet(f"{a.out}/report").show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -43,13 +43,28 @@ def training_rows(observed: DataFrame, predicted_curve: DataFrame, step_minutes:
     return features.join(errors, ["port", "predicted_index"])
 
 
-def fit(rows: DataFrame, trees: int = 160, least_leaf: int = 15, depth: int = 12) -> tuple[RandomForestRegressionModel, RandomForestRegressionModel]:
+Models = tuple[RandomForestRegressionModel, RandomForestRegressionModel]
+
+
+def fit(rows: DataFrame, trees: int = 160, least_leaf: int = 15, depth: int = 12) -> Models:
     """(time model on recent rows, height model on all)."""
     data = assembled(rows).persist()  # a forest reads its rows once a level
-    return _forest("time", trees, least_leaf, depth).fit(recent(data, "observed_datetime_ist")), _forest("height_error", trees, least_leaf, depth).fit(data)
+    try:
+        return _forest("time", trees, least_leaf, depth).fit(recent(data, "observed_datetime_ist")), _forest("height_error", trees, least_leaf, depth).fit(data)
+    finally:
+        data.unpersist()
+
+
+def save(models: Models, path: str) -> None:
+    for model, name in zip(models, ("time", "height"), strict=True):
+        model.write().overwrite().save(f"{path}/{name}")
+
+
+def load(path: str) -> Models:
+    return RandomForestRegressionModel.load(f"{path}/time"), RandomForestRegressionModel.load(f"{path}/height")
 
 
-def apply(events: DataFrame, models: tuple[RandomForestRegressionModel, RandomForestRegressionModel]) -> DataFrame:
+def apply(events: DataFrame, models: Models) -> DataFrame:
     """Events with corrected time and height beside the raw ones."""
     scored = models[1].transform(models[0].transform(assembled(event_features(events))))
     micros = F.round(F.col("time_correction") * 6e7).cast("long")

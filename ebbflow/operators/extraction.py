@@ -53,7 +53,7 @@ def hourly_days(words: DataFrame, headers: DataFrame, tolerance: float = 3.0) ->
     rows = grid_rows(words, tolerance)
     line = rows.groupBy("page", "row_y").agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("w"))
     first = F.col("w")[0]["text"]
-    decimals = F.transform(F.filter(F.slice("w", 2, 10_000), lambda x: x["text"].rlike(NUMBER)), lambda x: x["text"].cast("double"))
+    decimals = F.transform(F.filter(F.slice("w", 2, F.size("w")), lambda x: x["text"].rlike(NUMBER)), lambda x: x["text"].cast("double"))
     days = line.where(first.rlike(r"^\d{1,2}$")).select("page", "row_y", first.cast("int").alias("day"), decimals.alias("v")).join(about, "page")
     days = days.where(F.col("day").between(1, F.day(F.last_day(F.make_date("h.year", "h.month", F.lit(1))))))
     days = days.withColumn("k", F.row_number().over(Window.partitionBy("page", "day").orderBy("row_y"))).where((F.col("k") == 1) & (F.size("v") == 24))

@@ -1,9 +1,9 @@
 """Harmonic models: constituents, least squares fit, prediction, datums, nodal corrections.
 
 The fit never materialises a design matrix. Each Arrow batch adds to a partial Gram matrix per port
-(41 x 41 numbers), partials are summed by a two-phase aggregate, and the driver solves one small system
-per port. Prediction unrolls the constituents into one generated expression, so it needs no join; with
-many ports the model table is joined once per port as an array.
+(41 x 41 numbers), partials are summed by a two-phase aggregate, and each port's small system is solved in a
+grouped Arrow kernel on its summed cells: nothing is collected, however many ports there are. Prediction joins
+the model once per port as an array of terms; for one known model it unrolls into a single expression.
 """
 
 from __future__ import annotations
@@ -112,39 +112,64 @@ def gram_sql(series: DataFrame, names: list[str]) -> DataFrame:
     return sums.select("port", rows).select("port", "c.i", "c.j", "c.s")
 
 
-MODEL_SCHEMA = "port string, name string, kind string, period_hours double, speed_deg_per_hour double, amplitude_m double, phase_deg double, A_cos double, B_sin double, mean_level_m double, trend_m_per_year double"
+MODEL_SCHEMA = "port string, name string, kind string, period_hours double, speed_deg_per_hour double, amplitude_m double, phase_deg double, A_cos double, B_sin double, mean_level_m double, trend_m_per_year double, nodal boolean"
+
+
+def _solved(cells: pa.Table, names: list[str], trend: bool, nodal: bool, rayleigh: bool) -> pa.Table:
+    """The model rows of one port from its summed cells (port, i, j, s) and the hours it spans."""
+    about = {c[0]: c for c in CONSTITUENTS}
+    size = 2 + 2 * len(names) + trend
+    g = np.zeros((size, size))
+    g[cells.column("i").to_numpy(), cells.column("j").to_numpy()] = cells.column("s").to_numpy()
+    used = resolvable(names, cells.column("span")[0].as_py()) if rayleigh else names
+    at = [0, *(k for n in used for k in (1 + 2 * names.index(n), 2 + 2 * names.index(n))), *([size - 2] if trend else [])]
+    w = np.linalg.lstsq(g[np.ix_(at, at)], g[at, -1], rcond=None)[0]
+    port, rows = cells.column("port")[0].as_py(), []
+    for k, n in enumerate(used):
+        a, b = float(w[1 + 2 * k]), float(w[2 + 2 * k])
+        rows.append((port, n, about[n][3], about[n][1], about[n][2], math.hypot(a, b), math.degrees(math.atan2(b, a)) % 360.0, a, b, float(w[0]), float(w[-1]) if trend else 0.0, nodal))
+    kinds = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in MODEL_SCHEMA.split(", ")]
+    return pa.table({n: pa.array([r[k] for r in rows], kinds[t]) for k, (n, t) in enumerate(fields)})
 
 
 def fit(series: DataFrame, names: list[str] | None = None, trend: bool = False, nodal: bool = False, rayleigh: bool = False) -> DataFrame:
     """The model table (MODEL_SCHEMA), one row per port and constituent. Minimum-norm least squares.
 
-    The driver receives (2 K + 2)^2 numbers per port, whatever the length of the series.
+    rayleigh: of ``names``, each port uses those that its own span of time can tell apart. A port in whose span
+    none can be told apart has no rows. An unknown name is an error.
     """
     names = list(names or SPEEDS)
-    if rayleigh:
-        span = series.agg(((F.max(hours_since(F.col("datetime_ist"))) - F.min(hours_since(F.col("datetime_ist")))) + 1).alias("h")).first()["h"] or 0.0
-        names = resolvable(names, span)
-    about = {c[0]: c for c in CONSTITUENTS}
-    size = 2 + 2 * len(names) + trend
-    grams: dict[str, np.ndarray] = {}
-    for r in gram(series, names, trend, nodal).collect():
-        grams.setdefault(r.port, np.zeros((size, size)))[r.i, r.j] = r.s
-    rows = []
-    for port, g in sorted(grams.items()):
-        w = np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=None)[0]
-        years = float(w[-1]) if trend else 0.0
-        for k, n in enumerate(names):
-            a, b = float(w[1 + 2 * k]), float(w[2 + 2 * k])
-            rows.append((port, n, about[n][3], about[n][1], about[n][2], math.hypot(a, b), math.degrees(math.atan2(b, a)) % 360.0, a, b, float(w[0]), years))
-    return series.sparkSession.createDataFrame(rows, MODEL_SCHEMA)
+    unknown = [n for n in names if n not in SPEEDS]
+    if unknown:
+        raise ValueError(f"unknown constituents: {', '.join(unknown)}")
+    t = hours_since(F.col("datetime_ist"))
+    span = series.where("height_m IS NOT NULL").groupBy(F.col("port").cast("string").alias("s_port")).agg((F.max(t) - F.min(t) + 1).cast("double").alias("span"))
+    cells = gram(series, names, trend, nodal).join(span, F.col("port") == F.col("s_port")).select("port", "i", "j", "s", "span")
+    return cells.groupBy("port").applyInArrow(lambda c: _solved(c, names, trend, nodal, rayleigh), MODEL_SCHEMA)
 
 
 def predict(series: DataFrame, model: DataFrame, column: str = "predicted_m") -> DataFrame:
-    """``series`` with the model's height. The model travels as one array per port (K small structs)."""
-    per_port = model.groupBy(F.col("port").alias("m_port")).agg(F.first("mean_level_m").alias("__h0"), F.first("trend_m_per_year").alias("__trend"), F.collect_list(F.struct(F.radians("speed_deg_per_hour").alias("w"), F.col("A_cos").alias("a"), F.col("B_sin").alias("b"))).alias("__c"))
+    """``series`` with the model's height. The model travels as one array per port (K small structs).
+
+    A port fitted with nodal modulation (column ``nodal``) is predicted with it.
+    """
+    names = list(SPEEDS)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name")) - 1
+    term = F.struct(F.radians("speed_deg_per_hour").alias("w"), F.col("A_cos").alias("a"), F.col("B_sin").alias("b"), place.cast("int").alias("at"))
+    per_port = model.groupBy(F.col("port").alias("m_port")).agg(F.first("mean_level_m").alias("__h0"), F.first("trend_m_per_year").alias("__trend"), F.first("nodal").alias("__nodal"), F.array_sort(F.collect_list(term)).alias("__c"))
     t = hours_since(F.col("datetime_ist"))
-    tide = F.aggregate("__c", F.col("__h0") + F.col("__trend") * t / 8766.0, lambda acc, c: acc + c["a"] * F.cos(c["w"] * t) + c["b"] * F.sin(c["w"] * t))
-    return series.join(per_port, F.col("port") == F.col("m_port"), "left").withColumn(column, tide).drop("m_port", "__h0", "__trend", "__c")
+    start = F.col("__h0") + F.col("__trend") * t / 8766.0
+    plain = F.aggregate("__c", start, lambda acc, c: acc + c["a"] * F.cos(c["w"] * t) + c["b"] * F.sin(c["w"] * t))
+    factors = F.array(*[F.struct(f.alias("f"), u.alias("u")) for f, u in (nodal_columns(n, t) for n in names)])
+
+    def moved(acc: Column, c: Column) -> Column:
+        angle = c["w"] * t + F.get("__factors", c["at"])["u"]
+        return acc + F.get("__factors", c["at"])["f"] * (c["a"] * F.cos(angle) + c["b"] * F.sin(angle))
+
+    joined = series.join(per_port, F.col("port") == F.col("m_port"), "left").withColumn("__factors", F.when(F.col("__nodal"), factors))
+    tide = F.when(F.col("__nodal"), F.aggregate("__c", start, moved)).otherwise(plain)
+    return joined.withColumn(column, tide).drop("m_port", "__h0", "__trend", "__nodal", "__c", "__factors")
 
 
 def predict_expr(t: Column, mean_level: float, terms: list[tuple[float, float, float]]) -> Column:
@@ -187,62 +212,47 @@ def datums(series: DataFrame, value: str = "height_m", spring_percentile: float
 # ---- nodal corrections (published equilibrium formulae for the main lunar constituents) ----
 
 
+#: Published equilibrium series. Of the node's longitude N: the amplitude factor is the sum of
+#: f[k] cos(k N), raised to ``power``; the phase shift in degrees is the sum of u[k] sin(k N).
+NODAL_SERIES = {
+    "M2": ((1.0004, -0.0373, 0.0002), (0.0, -2.14, 0.0), 1),
+    "N2": ((1.0004, -0.0373, 0.0002), (0.0, -2.14, 0.0), 1),
+    "2N2": ((1.0004, -0.0373, 0.0002), (0.0, -2.14, 0.0), 1),
+    "MS4": ((1.0004, -0.0373, 0.0002), (0.0, -2.14, 0.0), 1),
+    "M4": ((1.0004, -0.0373, 0.0), (0.0, -4.28, 0.0), 2),
+    "MN4": ((1.0004, -0.0373, 0.0), (0.0, -4.28, 0.0), 2),
+    "M6": ((1.0004, -0.0373, 0.0), (0.0, -6.42, 0.0), 3),
+    "K2": ((1.0241, 0.2863, 0.0083), (0.0, -17.74, 0.68), 1),
+    "K1": ((1.0060, 0.1150, -0.0088), (0.0, -8.86, 0.68), 1),
+    "O1": ((1.0089, 0.1871, -0.0147), (0.0, 10.80, -1.34), 1),
+    "Q1": ((1.0089, 0.1871, -0.0147), (0.0, 10.80, -1.34), 1),
+    "Mf": ((1.0429, 0.4135, 0.0), (0.0, -23.74, 2.68), 1),
+    "Mm": ((1.0, -0.1300, 0.0), (0.0, 0.0, 0.0), 1),
+}
+NODAL_COVERED = tuple(NODAL_SERIES)
+#: Longitude of the moon's ascending node in degrees at the epoch less half a day, and its loss a day.
+NODE_AT_EPOCH, NODE_PER_DAY = 125.0445, 0.0529539
+
+
 def lunar_node(t: np.ndarray) -> np.ndarray:
     """Longitude of the moon's ascending node in radians, t hours since the epoch (linear mean motion)."""
-    return np.radians(125.0445 - 0.0529539 * (t / 24.0 - 0.5))
+    return np.radians(NODE_AT_EPOCH - NODE_PER_DAY * (t / 24.0 - 0.5))
 
 
 def nodal_factors(name: str, t: np.ndarray) -> tuple[np.ndarray | float, np.ndarray | float]:
     """(amplitude factor f, phase shift u in radians). Constituents without a formula here return (1, 0)."""
+    if name not in NODAL_SERIES:
+        return 1.0, 0.0
+    f, u, power = NODAL_SERIES[name]
     n = lunar_node(t)
-    deg = np.radians
-    if name in ("M2", "N2", "2N2", "MS4"):
-        return 1.0004 - 0.0373 * np.cos(n) + 0.0002 * np.cos(2 * n), deg(-2.14 * np.sin(n))
-    if name in ("M4", "MN4"):
-        return (1.0004 - 0.0373 * np.cos(n)) ** 2, deg(-4.28 * np.sin(n))
-    if name == "M6":
-        return (1.0004 - 0.0373 * np.cos(n)) ** 3, deg(-6.42 * np.sin(n))
-    if name == "K2":
-        return 1.0241 + 0.2863 * np.cos(n) + 0.0083 * np.cos(2 * n), deg(-17.74 * np.sin(n) + 0.68 * np.sin(2 * n))
-    if name == "K1":
-        return 1.0060 + 0.1150 * np.cos(n) - 0.0088 * np.cos(2 * n), deg(-8.86 * np.sin(n) + 0.68 * np.sin(2 * n))
-    if name in ("O1", "Q1"):
-        return 1.0089 + 0.1871 * np.cos(n) - 0.0147 * np.cos(2 * n), deg(10.80 * np.sin(n) - 1.34 * np.sin(2 * n))
-    if name == "Mf":
-        return 1.0429 + 0.4135 * np.cos(n), deg(-23.74 * np.sin(n) + 2.68 * np.sin(2 * n))
-    if name == "Mm":
-        return 1.0 - 0.1300 * np.cos(n), 0.0
-    return 1.0, 0.0
-
-
-NODAL_COVERED = ("M2", "N2", "2N2", "MS4", "M4", "MN4", "M6", "K2", "K1", "O1", "Q1", "Mf", "Mm")
-
-
-def predict_nodal(series: DataFrame, model: DataFrame, column: str = "predicted_m") -> DataFrame:
-    """Prediction with nodal modulation and trend; the model (K rows a port) is read once and shipped in the closure."""
-    ports: dict[str, list] = {}
-    for r in model.collect():
-        ports.setdefault(r.port, []).append((r.name, r.A_cos, r.B_sin, r.mean_level_m, r.trend_m_per_year))
-
-    def run(batches):
-        for batch in batches:
-            names = batch.column("port").to_pylist()
-            t = batch.column("__t").to_numpy(zero_copy_only=False)
-            out = np.full(len(t), np.nan)
-            for p in set(names):
-                at = np.array([x == p for x in names])
-                if p in ports:
-                    y = ports[p][0][3] + ports[p][0][4] * t[at] / 8766.0
-                    for n, a, b, _, _ in ports[p]:
-                        f, u = nodal_factors(n, t[at])
-                        angle = np.radians(SPEEDS[n]) * t[at] + u
-                        y = y + f * (a * np.cos(angle) + b * np.sin(angle))
-                    out[at] = y
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], column])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*series.schema.fields, T.StructField(column, T.DoubleType())])
-    return series.withColumn("__t", hours_since(F.col("datetime_ist"))).mapInArrow(run, schema)
+    return sum(c * np.cos(k * n) for k, c in enumerate(f)) ** power, np.radians(sum(c * np.sin(k * n) for k, c in enumerate(u)))
 
 
+def nodal_columns(name: str, t: Column) -> tuple[Column, Column]:
+    """As ``nodal_factors``, as expressions of a column of hours."""
+    if name not in NODAL_SERIES:
+        return F.lit(1.0), F.lit(0.0)
+    f, u, power = NODAL_SERIES[name]
+    n = F.radians(F.lit(NODE_AT_EPOCH) - F.lit(NODE_PER_DAY) * (t / 24.0 - 0.5))
+    total = sum((F.lit(c) * F.cos(k * n) for k, c in enumerate(f) if k and c), F.lit(f[0]))
+    return (F.pow(total, F.lit(float(power))) if power > 1 else total), F.radians(sum((F.lit(c) * F.sin(k * n) for k, c in enumerate(u) if c), F.lit(0.0)))

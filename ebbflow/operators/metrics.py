@@ -11,11 +11,11 @@ HORIZONS = (6, 12, 24, 48, 72)
 
 
 def skill(observed: Column, predicted: Column) -> list[Column]:
-    """n, bias, rmse, Pearson r (null at zero variance), symmetric slope sr (null where all observed are 0)."""
+    """n (rows with both values), bias, rmse, Pearson r (null at zero variance), symmetric slope sr (null where all observed are 0)."""
     d = predicted - observed
     varied = (F.var_pop(predicted) > 0) & (F.var_pop(observed) > 0)
     return [
-        F.count("*").alias("n"), F.avg(d).alias("bias_m"), F.sqrt(F.avg(d * d)).alias("rmse_m"),
+        F.count(d).alias("n"), F.avg(d).alias("bias_m"), F.sqrt(F.avg(d * d)).alias("rmse_m"),
         F.when(varied, divide(F.covar_pop(predicted, observed), F.stddev_pop(predicted) * F.stddev_pop(observed))).alias("r"),
         F.sqrt(divide(F.sum(predicted * predicted), F.sum(observed * observed))).alias("sr"),
     ]
@@ -56,6 +56,14 @@ def event_errors(pairs: DataFrame, observed_counts: DataFrame, minutes: float =
     return out.select("*", gate("timing").alias("timing_pass"), gate("height").alias("height_pass"), gate("joint").alias("joint_pass"))
 
 
+def event_report(errors: DataFrame, minutes: float = 30.0, metres: float = 0.3) -> DataFrame:
+    """``event_errors`` under the names of the event report, with the gates it was held against."""
+    return errors.select(
+        "port", "observed_events", "matched_events", "match_rate_percent", "time_mae_minutes", "time_rmse_minutes", F.col("timing_accuracy_percent").alias("time_accuracy_percent"), "height_mae_m", "height_rmse_m", "height_accuracy_percent",
+        "joint_accuracy_percent", F.lit(minutes).alias("time_gate_minutes"), F.lit(metres).alias("height_gate_m"), F.col("timing_pass").alias("passes_time_accuracy_gate"), F.col("height_pass").alias("passes_height_accuracy_gate"), F.col("joint_pass").alias("passes_joint_accuracy_gate"),
+    )
+
+
 def report_errors(pairs: DataFrame) -> DataFrame:
     t, h = F.col("time_error_minutes"), F.col("height_error_m")
     return pairs.groupBy("port").agg(F.count("*").alias("matched_events"), F.avg(F.abs(t)).alias("time_mae_minutes"), F.sqrt(F.avg(t * t)).alias("time_rmse_minutes"), F.avg(F.abs(h)).alias("height_mae_m"), F.sqrt(F.avg(h * h)).alias("height_rmse_m"), F.avg(h).alias("height_bias_m"))

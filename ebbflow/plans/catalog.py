@@ -56,7 +56,7 @@ def persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def small_model(spark: SparkSession, ports: list[str] | None = None) -> DataFrame:
     about = {c[0]: c for c in harmonic.CONSTITUENTS}
-    rows = [(p, n, about[n][3], about[n][1], w, math.hypot(a, b), math.degrees(math.atan2(b, a)) % 360.0, a, b, LEVEL, 0.0) for p in ports or ["model"] for n, w, a, b in TERMS]
+    rows = [(p, n, about[n][3], about[n][1], w, math.hypot(a, b), math.degrees(math.atan2(b, a)) % 360.0, a, b, LEVEL, 0.0, False) for p in ports or ["model"] for n, w, a, b in TERMS]
     return spark.createDataFrame(rows, harmonic.MODEL_SCHEMA)
 
 
@@ -495,7 +495,7 @@ def residual_forecast(spark, sf_dir):
     lsm, model, _ = residual.train(s, window=24, names=NAMES)
     last = s.groupBy("port").agg(F.max("datetime_ist").alias("l"))
     ahead = series.timeline(spark, last, F.col("l") + F.expr("INTERVAL 1 HOUR"), F.col("l") + F.expr("INTERVAL 25 HOURS"))
-    return residual.forecast(s, ahead, lsm, model)
+    return residual.forecast(s, ahead, lsm, model, window=24)
 
 
 @query("event_calibration")

@@ -12,11 +12,14 @@ HEIGHT_COLUMNS = ("height_m", "combined_predicted_m", "predicted_height_m", "lsm
 
 
 def read_hourly(spark: SparkSession, path: str, dedupe: bool = True) -> DataFrame:
-    """Hourly observations from CSV (header), first value per hour kept, with ``t_hours``."""
+    """Hourly observations from CSV (header), with ``t_hours``; of rows of one hour the first in the files is kept,
+    by file name, and within a file by place (a null height counts as a row)."""
     raw = spark.read.schema(HOURLY).csv(path, header=True)
     if not dedupe:
         return with_t_hours(raw)
-    return with_t_hours(keep_first(raw, [F.col("port"), F.col("datetime_ist")], F.col("height_m"), F.struct("datetime_ist", "height_m")))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    placed = raw.select("*", place.alias("__place"))
+    return with_t_hours(keep_first(placed, [F.col("port"), F.col("datetime_ist")], F.col("height_m"), F.col("__place")))
 
 
 def read_events(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -52,7 +55,7 @@ def read_model(spark: SparkSession, constants_path: str, summary_path: str, port
     if level is None:
         raise ValueError(f"no summary for {port}")
     rows = spark.read.schema(kinds).csv(constants_path, header=True)
-    return rows.select(F.lit(port).alias("port"), "*", F.lit(level[0]).alias("mean_level_m"), F.lit(0.0).alias("trend_m_per_year"))
+    return rows.select(F.lit(port).alias("port"), "*", F.lit(level[0]).alias("mean_level_m"), F.lit(0.0).alias("trend_m_per_year"), F.lit(False).alias("nodal"))
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:

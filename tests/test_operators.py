@@ -128,10 +128,20 @@ def test_harmonic_recovers(spark):
         assert 0 <= r.phase_deg < 360
     worst = harmonic.predict(s, model).selectExpr("max(abs(predicted_m - height_m)) AS d").first().d
     assert worst < 1e-7
-    modulated = harmonic.predict_nodal(s, model, "h").selectExpr("port", "datetime_ist", "h AS height_m")
+    nodal = model.withColumn("nodal", model["port"].isNotNull())
+    modulated = harmonic.predict(s, nodal, "h").selectExpr("port", "datetime_ist", "h AS height_m")
+    assert modulated.join(s.withColumnRenamed("height_m", "y"), ["port", "datetime_ist"]).selectExpr("max(abs(height_m - y)) AS d").first().d > 0.01
+    for trend in (True, False):  # a model fitted with nodal factors is predicted with them, trend or not
+        again = harmonic.fit(modulated, names, trend=trend, nodal=True)
+        assert harmonic.predict(modulated, again).selectExpr("max(abs(predicted_m - height_m)) AS d").first().d < 1e-6
     again = harmonic.fit(modulated, names, trend=True, nodal=True)
     for r in again.collect():
         assert (r.A_cos, r.B_sin) == pytest.approx(terms[r.name], abs=1e-6) and r.trend_m_per_year == pytest.approx(0.0, abs=1e-6)
+    with pytest.raises(ValueError, match="M99"):
+        harmonic.fit(s, ["M2", "M99"])
+    short = s.limit(0).unionByName(s.orderBy("datetime_ist").limit(24 * 3).selectExpr("'short' AS port", "datetime_ist", "height_m")).unionByName(s)
+    own = {p: {r.name for r in harmonic.fit(short, rayleigh=True).collect() if r.port == p} for p in ("short", s.first().port)}
+    assert own["short"] == set(harmonic.resolvable(list(harmonic.SPEEDS), 72.0)) and own["short"] < own[s.first().port]
     assert set(harmonic.resolvable(list(harmonic.SPEEDS), 24 * 30.0)) < set(harmonic.SPEEDS)
 
 
@@ -154,6 +164,8 @@ def test_skill_edges(spark):
     df = spark.createDataFrame([("a", 0.0, 1.0), ("a", 0.0, 1.0)], "port string, o double, p double")
     r = metrics.skill_metrics(df, "o", "p", ["port"]).first()
     assert (r.n, r.bias_m, r.rmse_m, r.r, r.sr) == (2, 1.0, 1.0, None, None)
+    gaps = spark.createDataFrame([("a", 1.0, 2.0), ("a", None, 2.0), ("a", 1.0, None)], "port string, o double, p double")
+    assert metrics.skill_metrics(gaps, "o", "p", ["port"]).first().n == 1
     assert metrics.histogram(df, "o", "port").collect()[0].n == 2
 
 
@@ -178,21 +190,54 @@ def test_residual_model(spark):
     score = residual.hindcast(test, model).selectExpr("sqrt(avg(pow(lsm_predicted_m - height_m, 2))) AS a", "sqrt(avg(pow(combined_predicted_m - height_m, 2))) AS b").first()
     assert score.b < 0.7 * score.a
     ahead = series.timeline(spark, s.groupBy("port").agg({"datetime_ist": "max"}).withColumnRenamed("max(datetime_ist)", "l"), __import__("pyspark.sql.functions", fromlist=["expr"]).expr("l + INTERVAL 1 HOUR"), __import__("pyspark.sql.functions", fromlist=["expr"]).expr("l + INTERVAL 13 HOURS"))
-    assert residual.forecast(s, ahead, lsm, model).count() == 12
+    made = residual.forecast(s, ahead, lsm, model, window=24).orderBy("datetime_ist").collect()
+    assert len(made) == 12
     late = ahead.selectExpr("port", "datetime_ist + INTERVAL 5 HOURS AS datetime_ist")
-    with pytest.raises(Exception, match="context"):
-        residual.forecast(s, late, lsm, model).collect()
-    assert residual.forecast(s, late, lsm, model, allow_stale_context=True).count() == 12
-
-
-def test_lstm_forward_shapes():
+    with pytest.raises(Exception, match="ends before"):
+        residual.forecast(s, late, lsm, model, window=24).collect()
+    assert residual.forecast(s, late, lsm, model, allow_stale_context=True, window=24).count() == 12
+    end = s.selectExpr("max(datetime_ist) AS l").first().l
+    for gone in (3, 23):  # a missing hour in the context is an error, however many older rows there are
+        with pytest.raises(Exception, match="23 of 24"):
+            residual.forecast(s.where(f"datetime_ist <> TIMESTAMP_NTZ '{end - timedelta(hours=gone)}'"), ahead, lsm, model, window=24).collect()
+    weights = np.array(model.first().weights)
+    base, m = {r.datetime_ist: r.residual for r in residual.with_residuals(s, lsm).collect()}, model.first()
+    z = [(base[end - timedelta(hours=k)] - m["mean"]) / m["std"] for k in range(23, -1, -1)]
+    for r in made:  # the plain loop
+        t = r.datetime_ist
+        day, hour = t.timetuple().tm_yday, t.hour
+        times = [f(x * 2 * math.pi / p) for x, p in ((hour, 24), (day, 365.25), (t.month, 12)) for f in (math.sin, math.cos)]
+        z.append(float(np.dot(z[-24:] + times + [1.0], weights)))
+        assert r.residual_predicted_m == pytest.approx(z[-1] * m["std"] + m["mean"], abs=1e-5)
+
+
+def test_lstm_forward_equals_a_loop():
     r = np.random.default_rng(0)
     h, f = 5, 7
-    w = {"w_ih0": r.normal(size=(4 * h, f)), "w_hh0": r.normal(size=(4 * h, h)), "b0": r.normal(size=4 * h), "w_ih1": r.normal(size=(4 * h, h)), "w_hh1": r.normal(size=(4 * h, h)), "b1": r.normal(size=4), "w1": r.normal(size=(4, h)), "w2": r.normal(size=(1, 4)), "b2": r.normal(size=1)}
-    w["b1"] = r.normal(size=4 * h)
-    head = dict(w, b1=w["b1"])
-    out = residual.lstm_forward(r.normal(size=(3, 6, f)), {**head, "w1": r.normal(size=(4 * h, h)), "w2": r.normal(size=(1, 4 * h))})
-    assert out.shape == (3,)
+    w = {"w_ih0": r.normal(size=(4 * h, f)), "w_hh0": r.normal(size=(4 * h, h)), "b0": r.normal(size=4 * h), "w_ih1": r.normal(size=(4 * h, h)), "w_hh1": r.normal(size=(4 * h, h)), "b1": r.normal(size=4 * h), "w2": r.normal(size=(1, 3)), "b2": r.normal(size=1)}
+    w |= {"w1": r.normal(size=(3, h))}
+    x = r.normal(size=(3, 6, f))
+    head = {**w, "b1": w["b1"]}
+
+    def cell(x, h0, c0, k):
+        gates = [sum(w[f"w_ih{k}"][j, i] * x[i] for i in range(len(x))) + sum(w[f"w_hh{k}"][j, i] * h0[i] for i in range(h)) + w[f"b{k}"][j] for j in range(4 * h)]
+        s = lambda v: 1 / (1 + math.exp(-v))
+        c = [s(gates[h + j]) * c0[j] + s(gates[j]) * math.tanh(gates[2 * h + j]) for j in range(h)]
+        return [s(gates[3 * h + j]) * math.tanh(c[j]) for j in range(h)], c
+
+    outs = []
+    for n in range(3):
+        state = [([0.0] * h, [0.0] * h) for _ in range(2)]
+        for step in x[n]:
+            v = list(step)
+            for k in range(2):
+                state[k] = cell(v, *state[k], k)
+                v = state[k][0]
+        outs.append(v)
+    head["b1"] = w["b1"]
+    got = residual.lstm_forward(x, {**head, "head_b1": np.zeros(3)})
+    hidden = np.maximum(0.0, np.array(outs) @ w["w1"].T)
+    assert got == pytest.approx((hidden @ w["w2"].T + w["b2"])[:, 0])
 
 
 def test_words_to_hours(spark):
@@ -217,6 +262,8 @@ def test_io(spark, tmp_path):
     io.write_csv(s.unionByName(s), str(tmp_path / "h"))
     assert io.read_hourly(spark, str(tmp_path / "h")).count() == 3
     assert io.read_hourly(spark, str(tmp_path / "h"), dedupe=False).count() == 6
+    (tmp_path / "first.csv").write_text("port,datetime_ist,height_m\np,2020-01-01 00:00:00,5.0\np,2020-01-01 00:00:00,2.0\np,2020-01-01 01:00:00,1.0\n")
+    assert [r.height_m for r in io.read_hourly(spark, str(tmp_path / "first.csv")).orderBy("datetime_ist").collect()] == [5.0, 1.0]
     io.write_hourly(s, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).where("year = 2020").count() == 3
     (tmp_path / "e.csv").write_text("state,datetime_ist\n high ,2020-01-01 00:00:00\n")
