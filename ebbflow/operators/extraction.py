@@ -31,7 +31,7 @@ def anchored_rows(chars: DataFrame, keys: list[str], tolerance: float) -> DataFr
     schema = ", ".join(f"{k} {dict(chars.dtypes)[k]}" for k in keys) + ", top double, value string"
 
     def kernel(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["top", "x0"])
+        df = df.sort_values(["top", "x0", "text"])
         rows: list[list[tuple]] = []
         for top, x0, text in zip(df["top"], df["x0"], df["text"], strict=True):
             if not rows or abs(top - rows[-1][0][0]) > tolerance:

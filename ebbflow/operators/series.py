@@ -105,6 +105,14 @@ def timeline(spark: SparkSession, ports: DataFrame, start: Column, end: Column,
     return ports.select("port", ts.alias("datetime_ist"))
 
 
+def carry_forward(series: DataFrame, value: str = "height_m") -> DataFrame:
+    """Every hour from a port's first to its last; a missing hour takes the value before it."""
+    ends = series.groupBy("port").agg(F.min("datetime_ist").alias("a"), F.max("datetime_ist").alias("b"))
+    hours = timeline(series.sparkSession, ends, F.col("a"), F.col("b"), inclusive=True)
+    w = Window.partitionBy("port").orderBy("datetime_ist").rowsBetween(Window.unboundedPreceding, 0)
+    return hours.join(series.select("port", "datetime_ist", value), ["port", "datetime_ist"], "left").withColumn(value, F.last(value, ignorenulls=True).over(w))
+
+
 def time_range(series: DataFrame, start: str, end: str) -> DataFrame:
     """start <= ts < end."""
     ts = F.col("datetime_ist")

@@ -90,8 +90,11 @@ def save_event_model(model: DataFrame, models: calibration.Models, report: DataF
     report.write.mode("overwrite").parquet(f"{path}/report")
 
 
-def load_event_model(spark: SparkSession, path: str) -> tuple[DataFrame, calibration.Models]:
-    return spark.read.parquet(f"{path}/harmonics"), calibration.load(f"{path}/calibration")
+def load_event_model(spark: SparkSession, path: str) -> tuple[DataFrame, calibration.Models | None]:
+    """What ``save_event_model`` wrote; a folder that is a bare model table has no calibration."""
+    if io.exists(spark, f"{path}/harmonics"):
+        return spark.read.parquet(f"{path}/harmonics"), calibration.load(f"{path}/calibration")
+    return spark.read.parquet(path), None
 
 
 def validate_events(model: DataFrame, models: calibration.Models | None, references: DataFrame, pad_hours: int = 12) -> dict[str, DataFrame]:

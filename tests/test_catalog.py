@@ -12,9 +12,9 @@ def test_equals_sql(spark, sf, name):
     assert (columns, rows) == compare.sql_rows(sf, catalog.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"event_calibration", "residual_hindcast", "residual_forecast"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).columns
+    assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry_has_rows(spark, sf):
