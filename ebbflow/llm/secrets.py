@@ -1,15 +1,18 @@
 """Operator 7, secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more characters of ``[A-Za-z0-9_+/=.-]`` with a digit, or right after an
-assignment to a credential word. Its features are length, character transitions and classes, entropy,
-dictionary coverage, path likeness, and its neighbouring words. The dictionary is the table of letter
-trigrams counted over all words of all documents (17,576 entries at most, whatever the corpus).
+Candidates are, of whole texts: runs of 16 or more characters of ``[A-Za-z0-9_+/=.-]`` with a digit; the whole value,
+quoted or up to a blank, of 6 to 200 characters of any kind that is assigned to a word which names a
+credential (a short password is thus one too, and marks don't cut it); and blocks between ``-----BEGIN ...-----`` and
+its end. Where candidates overlap the widest stands for all. Below 6 characters a value is too short
+to be told from a word. Features are length, character transitions and classes, entropy, dictionary
+coverage, path likeness, and neighbouring words. The dictionary is the table of letter trigrams counted
+over all words of all documents (17,576 entries at most, whatever the corpus).
 
 The forest learns from labelled findings: a table (left, candidate, right, label) of text before, the
-string itself and text after. ``example_findings`` makes one by rule from public credential formats and
-their usual look-alikes (commit ids, digests, paths, mails, placeholders); a table of reviewed findings
-can be given instead. At most ``most_findings`` rows are used, drawn by hash; that bound is the parameter.
-The forest is some thousand numbers, broadcast to score whole texts in one Arrow pass, without a shuffle.
+string itself and text after, as reviewers save it (``read_findings``). Without one, ``example_findings`` makes
+one by rule from public credential formats and their usual look-alikes (commit ids, digests, paths,
+mails, placeholders, words in place of a value). At most ``most_findings`` rows are used, drawn by hash; that bound
+is the parameter. The forest is some thousand numbers, broadcast to score whole texts in one Arrow pass, without a shuffle.
 
 Edge cases: null and blank texts have no candidates; null ids are reported as null; repeated rows are
 each reported; a table of findings with one label scores that label; an empty table gives an empty
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .wordhash import chunks
@@ -35,15 +38,21 @@ from .wordhash import chunks
 #: Words that name credentials, and words that name things which only look like them.
 CREDENTIAL_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private_key", "client_secret", "session_key")
 LOOKALIKE_WORDS = ("sha", "sha1", "sha256", "md5", "digest", "checksum", "commit", "hash", "etag", "uuid", "id", "revision", "build", "version", "integrity")
-PLACEHOLDER = re.compile(r"example|placeholder|your[_-]|changeme|dummy|xxxx|test[_-]|sample|0{6}|1234567", re.I)
+PLACEHOLDER = re.compile(r"example|placeholder|your[_-]|changeme|dummy|xxxx|test[_-]|sample|0{6}|1234567|\*{4}|\.{4}|\$\{|\$\(|%\(|\{\{|^<.*>$|\(\)$", re.I)
+#: Words that stand in place of a value.
+NO_VALUE = re.compile(r"(?:none|null|nil|true|false|required|optional|string|undefined|missing|invalid|expired|forgotten|hidden|redacted|unknown|default|empty|settings?|manager|generator|policy|field|reset|protected)[.,;]?", re.I)
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.\-]{16,}")
+_BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----.*?-----END \1-----", re.S)
+_SIGN = re.compile(r"=>|:=|[=:]")
+_NAMED = re.compile(r"(?:" + "|".join(CREDENTIAL_WORDS) + r")[\"'`\]]?\s{0,3}$", re.I)
+_VALUE = re.compile(r"\s{0,3}(?:\"([^\"\n]{6,200})\"|'([^'\n]{6,200})'|`([^`\n]{6,200})`|([^\s\"'`,;]{6,200}))")
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9_\-]*")
 _DIGIT = re.compile(r"[0-9]")
 _CONTEXT = 48
 FEATURES = (
     "length", "transitions", "digits", "uppers", "lowers", "marks", "distinct", "entropy", "hex", "coverage", "slashes", "dots", "extension", "host_left", "placeholder",
-    "assigned", "quoted", "credential_last", "credential_near", "lookalike_near", "left_words", "right_word", "known_prefix", "all_digits",
+    "assigned", "quoted", "credential_last", "credential_near", "lookalike_near", "left_words", "right_word", "known_prefix", "all_digits", "blanks", "no_value", "private_block",
 )
 _PREFIX = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|rk_live_|eyJ|AIza|npm_|pypi-)")
 _EXTENSION = re.compile(r"\.(?:js|css|html?|png|jpe?g|gif|svg|py|java|go|rs|json|xml|ya?ml|txt|md|zip|gz|jar|so|dll|com|org|net|io)\b", re.I)
@@ -63,13 +72,28 @@ class SecretConfig:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of candidate strings."""
-    out = []
+    """(start, end) of candidate strings, in order; of overlapping ones the widest."""
+    found = [m.span() for m in _BLOCK.finditer(text)] if "-----BEGIN " in text else []
+    at = 0
+    while m := _SIGN.search(text, at):
+        at = m.end()
+        if _NAMED.search(text, max(0, m.start() - 24), m.start()) and (v := _VALUE.match(text, at)):
+            a, b = v.span(v.lastindex)
+            if v.lastindex == 4:
+                b = a + len(text[a:b].rstrip(".)]}"))
+            if b - a >= 6:
+                found.append((a, b))
     for m in _CANDIDATE.finditer(text):
         s = m[0].strip("=.-") if m[0][0] in "=.-" else m[0].rstrip(".-")
         a = m.start() + m[0].find(s)
-        if len(s) >= 16 and (_DIGIT.search(s) or _ASSIGN.search(text[max(0, a - 4) : a]) and any(w in text[max(0, a - _CONTEXT) : a].lower() for w in CREDENTIAL_WORDS)):
-            out.append((a, a + len(s)))
+        if len(s) >= 16 and _DIGIT.search(s):
+            found.append((a, a + len(s)))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+        elif b - a > out[-1][1] - out[-1][0]:
+            out[-1] = (a, b)
     return out
 
 
@@ -95,6 +119,7 @@ def describe(left: str, s: str, right: str, known: frozenset[int]) -> list[float
         float(s.count("/")), float(s.count(".")), float(bool(_EXTENSION.search(s))), float(left.endswith(("@", "/", ":/", "://", "\\")) or right.startswith("@")), float(bool(PLACEHOLDER.search(s))),
         float(bool(_ASSIGN.search(left))), float(left[-1:] in ("'", '"', "`") and right[:1] == left[-1:]), float(bool(words) and credential(words[-1])), float(any(map(credential, words))),
         float(any(w in LOOKALIKE_WORDS for w in words[-2:])), float(len(words)), float(bool(_WORD.match(right.lstrip("\"'` ,;.)")))), float(bool(_PREFIX.match(s))), float(s.isdigit()),
+        float(s.count(" ")), float(bool(NO_VALUE.fullmatch(s.strip()))), float(s.startswith("-----BEGIN") and "PRIVATE KEY" in s[:60]),
     ]
 
 
@@ -113,6 +138,19 @@ def example_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, str, str,
         before, after = prose(r.randint(0, 6)), prose(r.randint(0, 4))
         q = r.choice(["", '"', "'", '"'])
         sep = r.choice([" = ", "=", ": ", ":", " => ", " := "])
+        if i % 6 == 5:  # passwords: short, with marks
+            s = pick(alnum + "!@#%^&*_-+?~", r.randint(8, 15)) if r.random() < 0.6 else r.choice([word, word, lambda: word().capitalize()])() + pick("0123456789", r.randint(1, 4)) + pick("!@#$%&*", r.randint(0, 2))
+            s = s if len(s) >= 6 else s + pick(alnum, 6)
+            if PLACEHOLDER.search(s) or s.isalpha():
+                s = pick(alnum, 5) + "7k"
+            out.append((case(f"{before} {r.choice(CREDENTIAL_WORDS)}{sep}{q}"), s, f"{q} {after}", 1))
+            continue
+        if i % 24 == 3:  # key blocks
+            private = r.random() < 0.5
+            kind = r.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"]) if private else r.choice(["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST"])
+            body = "\n".join(pick(b64, 64) for _ in range(r.randint(2, 12)))
+            out.append((f"{before} ", f"-----BEGIN {kind}-----\n{body}\n-----END {kind}-----", f" {after}", int(private)))
+            continue
         if i % 2:
             s = r.choice([lambda: pick(hexes, r.choice([32, 40, 64])), lambda: pick(hexes, 40), lambda: pick(b64, r.choice([24, 32, 40, 44])), lambda: "AKIA" + pick(upper, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: "eyJ" + pick(alnum, 30) + "." + pick(alnum, 40), lambda: pick(alnum + "_-", r.randint(18, 32))])()
             key = r.choice(CREDENTIAL_WORDS)
@@ -121,7 +159,7 @@ def example_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, str, str,
                 left, right = f"{before} authorization bearer ", f" {after}"
             out.append((case(left), case(s) if r.random() < 0.1 else s, right, 1))
             continue
-        kind = r.randrange(10)
+        kind = r.randrange(13)
         if kind == 0:
             left, s, right = f"{before} commit ", pick(hexes, 40), f" {after}"
         elif kind == 1:
@@ -141,6 +179,11 @@ def example_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, str, str,
         elif kind == 7:
             s = r.choice(["x" * r.randint(16, 40), "your_" + r.choice(["token", "password", "api_key"]) + "_here_123", "EXAMPLE_KEY_1234567890", "changeme_changeme_1", "0000000000000000000000", "test_token_placeholder1"])
             left, right = f"{before} {r.choice(CREDENTIAL_WORDS)}{sep}{q}", f"{q} {after}"
+        elif kind in (10, 11):  # a word, or a sign of an absent value, after a credential word
+            s = r.choice([lambda: word() + word(), lambda: r.choice(["required", "undefined", "missing", "optional", "string", "redacted", "invalid", "settings"]), lambda: "*" * r.randint(6, 12), lambda: "${" + word().upper() + "_TOKEN}", lambda: f"<{word()}-password>", lambda: f"get_{word()}()", lambda: prose(r.randint(2, 6))])()
+            left, s, right = f"{before} {r.choice(CREDENTIAL_WORDS)}{sep}{q}", s if len(s) >= 6 else s + "tionen", f"{q} {after}"
+        elif kind == 12:  # a number that nothing names
+            left, s, right = f"{before} {word()} ", pick("0123456789", 16), f" {after}"
         elif kind == 8:
             left, s, right = f"{before} ", "-".join(word() for _ in range(4)) + str(r.randint(1, 2030)), f" {after}"
         else:
@@ -244,6 +287,12 @@ def train(findings: list[tuple[str, str, str, int]], known: frozenset[int], cfg:
     return fit_forest(x, np.array([f[3] for f in drawn]), cfg)
 
 
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Reviewed findings (left, candidate, right, label) from a folder of JSON lines or of Parquet (``*.parquet``)."""
+    schema = "left string, candidate string, right string, label int"
+    return spark.read.schema(schema).parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.schema(schema).json(path)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], shared, cfg: SecretConfig) -> Iterator[pa.RecordBatch]:
     known, forest = shared.value
     for batch in batches:
@@ -253,7 +302,7 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, cfg: SecretConfig) -> Itera
                 ids.append(doc_id)
                 starts.append(a)
                 sizes.append(b - a)
-                digests.append(hashlib.sha256(text[a:b].encode()).hexdigest())
+                digests.append(hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest())
                 rows.append(describe(text[max(0, a - _CONTEXT) : a], text[a:b], text[b : b + _CONTEXT], known))
         score = forest_score(np.array(rows), forest) if rows else np.zeros(0)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(score, pa.float64()), pa.array(score >= cfg.threshold)], ["doc_id", "start", "length", "secret_sha256", "score", "is_secret"])
