@@ -9,7 +9,8 @@ A bucket is packed by one task, window by window. In a window every source earns
 hash order, cut where the share ends); what rounding or an empty queue leaves unserved stays in the
 deficit for the next window. Deficits also cross buckets: as each bucket packs all its tokens, what a
 source is owed when bucket b starts is ``target * tokens before b - its own tokens before b``, a prefix sum
-over the small (bucket, source) table, so buckets need not wait for one another. The default targets are
+over the small (bucket, source) table in two levels (within blocks of buckets, and over blocks), so buckets need
+not wait for one another and no task walks all of them. Buckets are dealt to tasks a few at a time. The default targets are
 the sources' shares of all tokens; given targets steer the order, and tokens left when other queues
 are empty are packed with whatever remains, since every id has to lie in exactly one piece.
 
@@ -50,6 +51,8 @@ class PackConfig:
     window_tokens: int = 64 * 1024
     bucket_tokens: int = 2_000_000
     targets: dict[str, float] = field(default_factory=dict)  # empty: shares of all tokens
+    block: int = 2048  # buckets of a block of the prefix sums
+    buckets_a_task: int = 4
 
 
 def encoder(cfg: PackConfig):
@@ -193,6 +196,16 @@ def pack_bucket(rows: pa.Table, owed: pa.Table, cfg: PackConfig, with_ids: bool
     return pa.table(out)
 
 
+def _before(cells: DataFrame, keys: list[str], cfg: PackConfig) -> DataFrame:
+    """``cells`` with ``before``: the sum of n over earlier buckets of the same keys."""
+    block = F.floor(F.col("bucket") / cfg.block).alias("block")
+    inside = Window.partitionBy(*keys, "block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per ``block`` buckets
+    blocks = cells.groupBy(*keys, block).agg(F.sum("n").alias("n")).select(*keys, "block", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("earlier"))
+    rows = cells.select("*", block).withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return rows.join(blocks, [*keys, "block"]).withColumn("before", F.col("earlier") + F.col("within")).drop("block", "within", "earlier")
+
+
 def pack(docs: DataFrame, cfg: PackConfig = PackConfig(), with_ids: bool = False, **columns: str) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
@@ -212,9 +225,10 @@ def pack(docs: DataFrame, cfg: PackConfig = PackConfig(), with_ids: bool = False
     shares = sums.select("source", share.alias("share"))
     # what each source is owed as a bucket starts: prefix sums over (bucket, source)
     cells = checkpointed(dealt.groupBy("bucket", "source").agg(F.sum("n_tokens").alias("n")))
-    by_bucket = cells.groupBy("bucket").agg(F.sum("n").alias("t")).select("bucket", F.coalesce(F.sum("t").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("t_before"))
-    own = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    owed = cells.select("bucket", "source", own.alias("own")).join(by_bucket, "bucket").join(shares, "source")
+    by_bucket = cells.groupBy("bucket").agg(F.sum("n").alias("n"))
+    before = _before(by_bucket, [], cfg).select("bucket", F.col("before").alias("t_before"))
+    owed = _before(cells, ["source"], cfg).select("bucket", "source", F.col("before").alias("own")).join(before, "bucket").join(shares, "source")
     owed = owed.select("bucket", "source", "share", (F.col("share") * F.col("t_before") - F.col("own")).alias("deficit"))
     schema = PIECE_SCHEMA + (", ids binary" if with_ids else "")
-    return dealt.groupBy("bucket").cogroup(checkpointed(owed).groupBy("bucket")).applyInArrow(lambda a, b: pack_bucket(a, b, cfg, with_ids), schema)
+    tasks = max(1, -(-n_buckets // cfg.buckets_a_task))
+    return dealt.repartition(tasks, "bucket").groupBy("bucket").cogroup(checkpointed(owed).groupBy("bucket")).applyInArrow(lambda a, b: pack_bucket(a, b, cfg, with_ids), schema)
