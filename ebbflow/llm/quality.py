@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed, column_or_null, small_side
-from .wordhash import chunks, sums
+from .wordhash import chunks, range_hash, sums
 
 #: Characters counted as symbols (fixed values of the contract).
 SYMBOLS = "#*$%&|<>"
@@ -75,13 +75,11 @@ def _counts(batches: Iterator[pa.RecordBatch], text: str = "text", carry: tuple[
             cut = np.nonzero(c.data == 10)[0]
             start = np.sort(np.concatenate([cut + 1, c.offsets[:-1]]))
             end = np.sort(np.concatenate([cut, c.offsets[1:]]))
-            filled = np.zeros(len(c.data) + 1, np.int64)
-            np.cumsum(~c.space, out=filled[1:])
-            with_word = filled[end] > filled[start]
+            with_word = sums(~c.space, np.append(start, len(c.data))) > 0  # a line break is white space
             start, end = start[with_word], end[with_word]
             doc = np.searchsorted(c.offsets, start, "right") - 1
             n_lines = np.bincount(doc, minlength=c.rows)
-            h = c.range_hash(start, end)
+            h = range_hash(c.data, start, end)
             order = np.lexsort((h, doc))
             same = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
             n_dup = np.bincount(doc[order][1:][same], minlength=c.rows)

@@ -105,13 +105,15 @@ q AS (
     min(CASE WHEN upto >= ceil(0.5 * total) THEN pow({_CFG.growth!r}::DOUBLE, bucket) - 1.0 END) AS mid,
     min(CASE WHEN upto >= ceil({_CFG.upper!r} * total) THEN pow({_CFG.growth!r}::DOUBLE, bucket) - 1.0 END) AS up
   FROM runs GROUP BY ALL),
-f AS MATERIALIZED (SELECT level, lang, source, rule, total, up + greatest({_CFG.fence!r} * (up - mid), slack) AS fence FROM q),
+f AS MATERIALIZED (SELECT level, lang, source, rule, total, mid, up, up + greatest({_CFG.fence!r} * (up - mid), slack) AS fence FROM q),
+limits AS (
+  SELECT a.lang, a.source, a.rule, a.total, a.mid, a.up, a.fence, e.fence AS every,
+    CASE WHEN b.total < {_CFG.min_rows} THEN e.fence WHEN b.mid <= e.fence AND b.up > e.fence THEN e.fence ELSE b.fence END AS wide
+  FROM f a JOIN f b ON b.level = 1 AND b.lang = a.lang AND b.rule = a.rule JOIN f e ON e.level = 2 AND e.rule = a.rule WHERE a.level = 0),
 bad AS (
   SELECT DISTINCT r.rid FROM r
-  JOIN f a ON a.level = 0 AND a.lang = r.lang AND a.source = r.source AND a.rule = r.rule
-  JOIN f b ON b.level = 1 AND b.lang = r.lang AND b.rule = r.rule
-  JOIN f e ON e.level = 2 AND e.rule = r.rule
-  WHERE r.x > CASE WHEN a.total >= {_CFG.min_rows} THEN a.fence WHEN b.total >= {_CFG.min_rows} THEN b.fence ELSE e.fence END)
+  JOIN limits a ON a.lang = r.lang AND a.source = r.source AND a.rule = r.rule
+  WHERE r.x > CASE WHEN a.total < {_CFG.min_rows} THEN wide WHEN a.mid <= least(wide, every) AND a.up > least(wide, every) THEN least(wide, every) ELSE a.fence END)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND rid NOT IN (SELECT rid FROM bad) AS kept

@@ -1,8 +1,9 @@
 """Vectorised word kernels over Arrow string columns (runs inside Python workers).
 
-A batch is cut into chunks of bounded bytes. In a chunk every word gets a 64-bit polynomial hash
-read off one prefix sum, so no Python object is made per word; shingles, n-grams and lines are
-hashed from those. Texts are UTF-8, and the white space of the word rule is ASCII, so byte
+A batch is cut into chunks of bounded bytes; a longer text is a chunk of its own. In a chunk every word gets a
+64-bit polynomial hash read off prefix sums, so no Python object is made per word; shingles, n-grams and
+lines are hashed from those. Prefix sums span ``CHUNK_BYTES`` (or the longest word or line) at a time, so a
+very long text costs flags of a byte and numbers per word, not numbers per byte. Texts are UTF-8, and the white space of the word rule is ASCII, so byte
 positions decide word borders exactly.
 """
 
@@ -64,7 +65,6 @@ class Chunk:
     end: np.ndarray
     doc: np.ndarray
     word: np.ndarray  # 64-bit hash of each word
-    prefix: np.ndarray  # prefix sums for hashing any byte range
 
     @property
     def rows(self) -> int:
@@ -73,10 +73,6 @@ class Chunk:
     def n_words(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.rows)
 
-    def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, inverse = _tables(len(self.data) + 1)
-        return mix64((self.prefix[end] - self.prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * _STEP)
-
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word, and hash, of each run of n words of one row."""
         if len(self.word) < n:
@@ -108,28 +104,43 @@ def _chunk(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool, table
     if lower:
         data = _LOWER[data]
     n = len(data)
-    power, inverse = _tables(n + 1)
     space = table[data]
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True
     before = np.ones(n, bool)
     before[1:] = space[:-1]
-    after = np.ones(n, bool)
-    after[:-1] = space[1:]
     start = np.nonzero(~space & (before | begins[:-1]))[0]
+    after = before
+    after[-1:] = True
+    after[:-1] = space[1:]
     end = np.nonzero(~space & (after | begins[1:]))[0] + 1
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
     doc = np.searchsorted(offsets, start, "right") - 1
-    word = mix64((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * _STEP)
-    return Chunk(first, data, offsets, space, start, end, doc, word, prefix)
+    return Chunk(first, data, offsets, space, start, end, doc, range_hash(data, start, end))
+
+
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end), which are in order and don't overlap."""
+    out = np.empty(len(start), np.uint64)
+    k = 0
+    while k < len(start):
+        to = max(k + 1, int(np.searchsorted(end, start[k] + CHUNK_BYTES, "right")))
+        a, b = int(start[k]), int(end[to - 1])
+        power, inverse = _tables(b - a + 1)
+        prefix = np.zeros(b - a + 1, np.uint64)
+        np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * power[: b - a], out=prefix[1:])
+        s, e = start[k:to] - a, end[k:to] - a
+        out[k:to] = mix64((prefix[e] - prefix[s]) * inverse[s] + (e - s).astype(np.uint64) * _STEP)
+        k = to
+    return out
 
 
 def sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of flags over each [offsets[i], offsets[i + 1])."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    out = np.zeros(len(offsets) - 1, np.int64)
+    filled = offsets[1:] > offsets[:-1]
+    if filled.any():  # the ranges that aren't empty adjoin each other
+        out[filled] = np.add.reduceat(flags, offsets[:-1][filled], dtype=np.int64)
+    return out
 
 
 def shingle_sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:

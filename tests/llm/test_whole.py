@@ -2,10 +2,11 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 
-from ebbflow.llm import mixing, quality, repeats, wordhash
+from ebbflow.llm import mixing, quality, queries, repeats, wordhash
 
 
 def _labelled(spark, texts):
@@ -48,8 +49,13 @@ def test_quality_fence_of_a_junk_heavy_source(spark):
     rows = [(k, text(k, 0), "en", "clean") for k in range(700)]
     rows += [(1000 + k, text(1000 + k, 0), "en", "mixed") for k in range(210)]
     rows += [(2000 + k, text(2000 + k, 40 + k % 40), "en", "mixed") for k in range(90)]  # 30% of the source
-    got = {x.doc_id: x.kept for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x.kept for x in quality.judge(docs).collect()}
     assert all(kept == (d < 2000) for d, kept in got.items())
+    db = duckdb.connect()
+    db.register("documents", docs.toArrow())
+    column = [c[0] for c in db.execute(queries.OP4_SQL).description].index("kept")
+    assert {r[0]: r[column] for r in db.execute(queries.OP4_SQL).fetchall()} == got
 
 
 def test_minimisers_cover_uneven_repeats():
