@@ -10,7 +10,7 @@ hash order, cut where the share ends); what rounding or an empty queue leaves un
 deficit for the next window. Deficits also cross buckets: as each bucket packs all its tokens, what a
 source is owed when bucket b starts is ``target * tokens before b - its own tokens before b``, a prefix sum
 over the small (bucket, source) table in two levels (within blocks of buckets, and over blocks), so buckets need
-not wait for one another and no task walks all of them. Buckets are dealt to tasks a few at a time. The default targets are
+not wait for one another and no task walks all of them. A task has a bucket or a few. The default targets are
 the sources' shares of all tokens; given targets steer the order, and tokens left when other queues
 are empty are packed with whatever remains, since every id has to lie in exactly one piece.
 
@@ -52,7 +52,7 @@ class PackConfig:
     bucket_tokens: int = 2_000_000
     targets: dict[str, float] = field(default_factory=dict)  # empty: shares of all tokens
     block: int = 2048  # buckets of a block of the prefix sums
-    buckets_a_task: int = 4
+    most_tasks: int = 100_000
 
 
 def encoder(cfg: PackConfig):
@@ -230,5 +230,4 @@ def pack(docs: DataFrame, cfg: PackConfig = PackConfig(), with_ids: bool = False
     owed = _before(cells, ["source"], cfg).select("bucket", "source", F.col("before").alias("own")).join(before, "bucket").join(shares, "source")
     owed = owed.select("bucket", "source", "share", (F.col("share") * F.col("t_before") - F.col("own")).alias("deficit"))
     schema = PIECE_SCHEMA + (", ids binary" if with_ids else "")
-    tasks = max(1, -(-n_buckets // cfg.buckets_a_task))
-    return dealt.repartition(tasks, "bucket").groupBy("bucket").cogroup(checkpointed(owed).groupBy("bucket")).applyInArrow(lambda a, b: pack_bucket(a, b, cfg, with_ids), schema)
+    return dealt.repartition(min(cfg.most_tasks, n_buckets), "bucket").groupBy("bucket").cogroup(checkpointed(owed).groupBy("bucket")).applyInArrow(lambda a, b: pack_bucket(a, b, cfg, with_ids), schema)

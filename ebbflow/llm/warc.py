@@ -154,11 +154,12 @@ def shard_starts(sizes: DataFrame, shards: int, fine: int = 6) -> list[int]:
             break
         rows = rows.where(key.isin(heavy))
         shift = max(0, shift - fine)
-    starts, held = [], 0
-    for at, n in sorted(cells):
-        if held and held + n > least and len(starts) < shards - 1:
-            starts.append(at)
-            held = 0
+    starts, held, shard = [], 0, 0
+    for at, n in sorted(cells):  # a range goes to the shard that holds the middle of its bytes
+        now = min(shards - 1, int((held + n / 2) * shards / whole[2]))
+        if now > shard:
+            starts += [at] if held else []
+            shard = now
         held += n
     return starts
 

@@ -15,7 +15,7 @@ def corpus(spark, n=1500):
 
 @pytest.mark.parametrize("targets", [{}, {"a": 0.2, "b": 0.5, "c": 0.3}])
 def test_windows_hold_target_shares(spark, targets):
-    cfg = packing.PackConfig(targets=targets, bucket_tokens=40_000, window_tokens=4096, block=2, buckets_a_task=1)
+    cfg = packing.PackConfig(targets=targets, bucket_tokens=40_000, window_tokens=4096, block=2)
     docs = corpus(spark)
     rows = packing.pack(docs, cfg).collect()
     tokens = {s: sum(r.length for r in rows if r.source == s) for s in "abc"}

@@ -25,7 +25,7 @@ def test_shards_are_equal_in_every_write(spark, tmp_path, spread):
     one = warc.write_archive(df.repartition(5), f"file://{tmp_path}/a", shards=4)
     two = warc.write_archive(df.repartition(3), f"file://{tmp_path}/b", shards=4)
     assert one == two and len(one) == 4 and sum(m["records"] for m in one) == len(rows)
-    assert max(m["bytes"] for m in one) < 2 * min(m["bytes"] for m in one)
+    assert max(m["bytes"] for m in one) < 1.5 * min(m["bytes"] for m in one), [(m["bytes"], m["records"]) for m in one]
     assert all(a["last_id"] < b["first_id"] for a, b in zip(one, one[1:], strict=False))
 
 
