@@ -54,9 +54,9 @@ def sized(df: DataFrame, rows: int, per_partition: int = 250_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // per_partition)))
 
 
-def compact(df: DataFrame, per_partition: int = 250_000) -> DataFrame:
-    """Checkpoints ``df``, then as ``sized``."""
-    df = checkpointed(df)
+def compact(df: DataFrame, per_partition: int = 250_000, most_rows: int | None = None) -> DataFrame:
+    """Checkpoints ``df``, then as ``sized``. A known bound on its rows also keeps the checkpoint's files few."""
+    df = checkpointed(df if most_rows is None else sized(df, most_rows, per_partition))
     return sized(df, df.count(), per_partition)
 
 

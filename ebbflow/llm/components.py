@@ -34,8 +34,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(edges)
     for _ in range(most_rounds):
-        larger = compact(_large_star(sized(edges, before[0])))
-        edges = checkpointed(_small_star(larger))
+        larger = compact(_large_star(sized(edges, before[0])), most_rows=before[0])
+        edges = checkpointed(sized(_small_star(larger), 2 * before[0]))
         after = state(edges)
         if after == before:
             break
@@ -44,6 +44,6 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     stars = sized(edges, before[0]).groupBy("u").agg(F.min("v").alias("component"))
     both = stars.select(F.col("u").alias("node"), "component").unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
-    done = compact(both)
+    done = compact(both, most_rows=2 * before[0])
     release(links.sparkSession)
     return done

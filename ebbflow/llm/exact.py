@@ -26,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, checkpointed, free_names, small_side
+from .common import SPACE_CHARS, checkpointed, compact, free_names, small_side
 
 INDEX_SCHEMA = "digest binary, keep_id long, keep_chars int, batch string"
 
@@ -109,7 +109,7 @@ class DigestIndex:
         marks = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("digest"), F.char_length(text).alias("n_chars")))
         # bitwise NOT reverses the order of ids without overflow
         winners = marks.groupBy("digest").agg(F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("inverse"))).alias("best"), F.count("*").alias("group_size"))
-        winners = checkpointed(winners.select("digest", F.bitwise_not("best.inverse").alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "group_size"))
+        winners = compact(winners.select("digest", F.bitwise_not("best.inverse").alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "group_size"), 100_000, marks.count())
         self._take(winners, batch)
         stored = checkpointed(winners.select("digest", "group_size").join(self.read().select("digest", "keep_id").hint("merge"), "digest"))
         joined = marks.join(stored.hint("merge"), "digest")

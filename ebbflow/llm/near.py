@@ -201,7 +201,7 @@ def _with_group(rows: DataFrame, groups: DataFrame, cfg: NearConfig) -> DataFram
 
 def _open_groups(groups: DataFrame, components: DataFrame, cfg: NearConfig) -> DataFrame:
     """Rows of the groups that span components, with ``comp`` and the group's largest component ``main``."""
-    labelled = checkpointed(groups.join(components, groups["id"] == components["node"], "left").select(*groups.columns, F.coalesce("component", "id").alias("comp")))
+    labelled = compact(groups.join(components, groups["id"] == components["node"], "left").select(*groups.columns, F.coalesce("component", "id").alias("comp")), 50_000, groups.count())
     parts = labelled.groupBy("hub", "comp").agg(F.count("*").alias("n"))
     spans = parts.groupBy(F.col("hub").alias("g_hub")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("n", "comp")).alias("largest"), F.sum("n").alias("group_rows"))
     return _with_group(labelled, spans.where("lo < hi").select("g_hub", F.col("largest.comp").alias("main"), "group_rows"), cfg)
@@ -256,7 +256,7 @@ def _components(docs: DataFrame, cfg: NearConfig, id_col: str, text_col: str) ->
     """As near_components, with the digest (d1) of each row's set."""
     slim = _slim(docs, id_col, text_col)
     marks = written(signatures(docs, cfg, id_col, text_col), "signatures")
-    classes = checkpointed(marks.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")))
+    classes = compact(marks.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), most_rows=marks.count())
     reps = classes.where("rep IS NOT NULL").withColumnRenamed("rep", "doc_id")
     nodes = written(marks.join(reps, ["doc_id", "n_shingles", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "signature"), "nodes")
 
@@ -273,10 +273,10 @@ def _components(docs: DataFrame, cfg: NearConfig, id_col: str, text_col: str) ->
     links = compact(confirm(slim, pairs.select("id", "hub"), cfg))
     for salt in range(cfg.pivot_rounds):
         known = connected_components(links)
-        met = compact(_pivot_pairs(checkpointed(_open_groups(groups, known, cfg)), salt, cfg))
+        met = compact(_pivot_pairs(compact(_open_groups(groups, known, cfg), 50_000, groups.count()), salt, cfg))
         links = compact(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(confirm(slim, met, cfg)))
     known = connected_components(links)
-    opened = compact(_open_groups(groups, known, cfg), 50_000)
+    opened = compact(_open_groups(groups, known, cfg), 50_000, groups.count())
     final = connected_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_settle(slim, opened, cfg)))
 
     of_class = classes.join(final, classes["rep"] == final["node"], "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component"))

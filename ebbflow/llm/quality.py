@@ -148,7 +148,7 @@ def _fences(sketch: DataFrame, keys: list[str], cfg: QualityConfig) -> DataFrame
 
 def thresholds(counts: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """(lang, source, one fence column per rule), small strata backed by their language's or the global sketch."""
-    sketch = checkpointed(sketches(counts, cfg))
+    sketch = checkpointed(sketches(counts, cfg).coalesce(64))  # some hundred rows a stratum and rule: few files
     own = _fences(sketch, ["lang", "source"], cfg)
     lang = _fences(sketch, ["lang"], cfg).select(F.col("lang").alias("l_lang"), F.col("rule").alias("l_rule"), F.col("total").alias("l_total"), F.col("mid").alias("l_mid"), F.col("up").alias("l_up"), F.col("fence").alias("l_own"))
     every = _fences(sketch, [], cfg).select(F.col("rule").alias("g_rule"), F.col("fence").alias("g_fence"))
@@ -177,7 +177,7 @@ def _verdict(counts: DataFrame, fences: DataFrame, cfg: QualityConfig, prefix: s
 def judge(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the counts, ``base_failed`` and ``kept``."""
     counts = checkpointed(text_counts(docs, id_col, text_col))
-    return _verdict(counts, checkpointed(thresholds(counts, cfg)), cfg)
+    return _verdict(counts, checkpointed(thresholds(counts, cfg).coalesce(16)), cfg)
 
 
 def keep_good(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text_col: str = "text") -> DataFrame:
@@ -186,7 +186,7 @@ def keep_good(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text_col: s
     A first pass settles the fences; the scan that keeps rows counts again beside the full row, so
     no text is shuffled or looked up by id, and rows with equal or null ids are judged each alone.
     """
-    fences = checkpointed(thresholds(text_counts(docs.withColumn("__q_id", F.lit(0)), "__q_id", text_col), cfg))
+    fences = checkpointed(thresholds(text_counts(docs.withColumn("__q_id", F.lit(0)), "__q_id", text_col), cfg).coalesce(16))
     counted = with_counts(docs, text_col, docs.columns, "__q_")
     judged = _verdict(counted, fences, cfg, "__q_", column_or_null(docs, "lang", "string"), column_or_null(docs, "source", "string"))
     return judged.where("__q_kept").select(*docs.columns)

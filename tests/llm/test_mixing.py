@@ -5,8 +5,10 @@ import os
 import pytest
 
 from ebbflow.llm import mixing
+from ebbflow.llm.common import checkpointed
 
 LARGE = "/root/testdata/sf0.1"
+OTHERS = {"thin": mixing.MixConfig(targets=(0.7, 0.2, 0.1), scarce="thin"), "copies": mixing.MixConfig(targets=(0.8, 0.15, 0.05), most_copies=4.0, budget=0.9)}
 
 
 def shares(rows, often):
@@ -14,17 +16,33 @@ def shares(rows, often):
     return [t / sum(totals) for t in totals]
 
 
-@pytest.mark.skipif(not os.path.isdir(LARGE), reason="no test tables here")
-@pytest.mark.parametrize("cfg", [mixing.MixConfig(), mixing.MixConfig(targets=(0.7, 0.2, 0.1), scarce="thin"), mixing.MixConfig(targets=(0.8, 0.15, 0.05), most_copies=4.0, budget=0.9)], ids=["default", "thin", "copies"])
-def test_totals_meet_targets(spark, cfg):
+@pytest.fixture(scope="module")
+def rows(spark):
+    if not os.path.isdir(LARGE):
+        pytest.skip("no test tables here")
     docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
-    rows = mixing.mix(docs, labels, cfg).collect()
+    return mixing.mix(docs, labels).collect()
+
+
+def test_totals_meet_targets(rows):
+    cfg = mixing.MixConfig()
     for got in (shares(rows, lambda r: r.rate), shares(rows, lambda r: r.copies)):
         assert got == pytest.approx(list(cfg.targets), rel=0.02), got
     assert all(0 <= r.rate <= cfg.most_copies and r.kept == (r.copies > 0) for r in rows)
-    if cfg == mixing.MixConfig():
-        clean = [r for r in rows if r.p_good > 0.95]
-        assert sum(r.kept for r in clean) >= 0.98 * len(clean)
+    clean = [r for r in rows if r.p_good > 0.95]
+    assert sum(r.kept for r in clean) >= 0.98 * len(clean)
+
+
+@pytest.mark.parametrize("name", OTHERS)
+def test_other_targets(spark, rows, name):
+    cfg = OTHERS[name]
+    marks = spark.createDataFrame([(r.doc_id, r.n_tokens, [r.p_good, r.p_poor, r.p_toxic]) for r in rows], "doc_id long, __n long, __p array<double>")
+    done, fit = mixing.fit_rates(checkpointed(marks.withColumn("__u", mixing.draw_key(marks["doc_id"], marks["doc_id"].cast("string"), cfg))), cfg)
+    whole = sum(fit.drawn)
+    assert list(fit.expected) == pytest.approx([w * sum(fit.expected) for w in cfg.targets], rel=0.02)
+    assert list(fit.drawn) == pytest.approx([w * whole for w in cfg.targets], rel=0.02) and (cfg.budget is None or whole == pytest.approx(cfg.budget, rel=0.01))
+    copies = done.select(fit.copies(done["__rate"], done["__p"], done["__u"], cfg).alias("c")).collect()
+    assert max(r.c for r in copies) == cfg.most_copies > 0 and min(r.c for r in copies) == 0
 
 
 def test_scarce_domains():
