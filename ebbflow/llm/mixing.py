@@ -26,8 +26,9 @@
    Newton steps, one distributed sum each.
 
 Targets are weights. A domain after the first that has less than its target keeps what it has, and the others
-share the rest in their proportions (``scarce`` "keep"): clean documents aren't thinned out because another domain
-is rare. With ``scarce`` "thin" the weights are met as they are stated, whatever has to go for it.
+share the rest in their proportions (``scarce`` "keep"), and documents of the first domain by a posterior of ``clean`` have a
+rate of one at least: they aren't thinned out because another domain is rare or can't be told apart. The fit knows
+that bound and takes from the others. With ``scarce`` "thin" the weights are met as they are stated, whatever has to go for it.
 
 Domains here are the label classes: good (quality 1, not toxic), poor (quality 0, not toxic), toxic.
 Edge cases: null or blank texts have the prior as posteriors and no tokens; null ids and repeated rows are
@@ -55,6 +56,7 @@ class MixConfig:
     budget: float | None = None  # tokens after mixing, as a multiple of the tokens before; None: as many as the weights leave
     scarce: str = "keep"  # or "thin": see above
     most_copies: float = 1.0
+    clean: float = 0.9  # posterior of the first domain from which a document stays
     most_rows: int = 20_000
     most_features: int = 1000  # per domain, the most significant ones
     least_g: float = 15.1  # least G statistic of a feature (chance 1e-4, one degree of freedom)
@@ -62,7 +64,7 @@ class MixConfig:
     steps: int = 60
     fold: int = 10
     tolerance: float = 0.002
-    draw_steps: int = 6
+    draw_steps: int = 10
     seed: int = 11
 
 
@@ -195,6 +197,13 @@ def with_posteriors(docs: DataFrame, model: Model, cfg: MixConfig, text_col: str
     return marked.withColumn(names[1], F.aggregate(known, start, _adder(model.added), finish)).drop(found, known)
 
 
+def _least(p: Column, cfg: MixConfig) -> Column:
+    """The least rate of a document: one where clean documents are to stay."""
+    if cfg.scarce == "thin" or cfg.budget is not None:
+        return F.lit(0.0)
+    return F.when(p[0] >= cfg.clean, 1.0).otherwise(0.0)
+
+
 def _rate(steps: list[list[float]], r0: Column, y0: Column, a: Column, eta: float, cfg: MixConfig) -> Column:
     """(rate, look-ahead) after the given steps, each [gradient of domain 0.., their mean by targets, momentum], from a written state."""
     k = len(DOMAINS)
@@ -202,7 +211,7 @@ def _rate(steps: list[list[float]], r0: Column, y0: Column, a: Column, eta: floa
 
     def one(acc: Column, s: Column) -> Column:
         pull = sum((acc["a"][d] * s[d] for d in range(1, k)), acc["a"][0] * s[0]) - s[k] + cfg.ridge * (acc["y"] - 1.0)
-        r = F.least(F.lit(float(cfg.most_copies)), F.greatest(F.lit(0.0), acc["y"] - eta * pull))
+        r = F.least(F.lit(float(cfg.most_copies)), F.greatest(_least(acc["a"], cfg), acc["y"] - eta * pull))
         return F.struct(r.alias("r"), (r + s[k + 1] * (r - acc["r"])).alias("y"), acc["a"].alias("a"))
 
     # the posteriors ride in the accumulator, so an expression behind them is evaluated once a row
@@ -227,7 +236,7 @@ class MixFit:
     def copies(self, rate: Column, p: Column, draw: Column, cfg: MixConfig) -> Column:
         """How often a document with that draw is taken: its rate, moved by the offsets, rounded by chance."""
         moved = sum((p[d] * F.lit(float(c)) for d, c in enumerate(self.offsets)), rate)
-        held = F.least(F.lit(float(cfg.most_copies)), F.greatest(F.lit(0.0), moved))
+        held = F.least(F.lit(float(cfg.most_copies)), F.greatest(_least(p, cfg), moved))
         return _once(held, lambda x: (F.floor(x) + (draw < x - F.floor(x)).cast("long")).cast("int"))
 
 
@@ -256,6 +265,8 @@ def _distance(totals: list[float], weights: list[float], cfg: MixConfig) -> tupl
     """(x_k, the greatest of |x_k| as a share of the domain's target)."""
     whole = cfg.budget if cfg.budget is not None else sum(totals)
     x = [t - w * whole for t, w in zip(totals, weights, strict=True)]
+    if not whole:  # nothing is no mix of the wanted weights
+        return x, float("inf")
     return x, max((abs(a) / (w * whole) for a, w in zip(x, weights, strict=True) if w * whole > 0), default=0.0)
 
 
@@ -318,14 +329,15 @@ def _drawn(done: DataFrame, fit: MixFit, total, cfg: MixConfig) -> MixFit:
 
     k = len(DOMAINS)
     best, nearest = fit, float("inf")
-    for _ in range(cfg.draw_steps):
+    for number in range(cfg.draw_steps):
         copies = fit.copies(F.col("__rate"), F.col("__p"), F.col("__u"), cfg)
-        free = ((F.col("__rate") > 0) & (F.col("__rate") < cfg.most_copies)).cast("int")
+        free = ((F.col("__rate") > _least(F.col("__p"), cfg)) & (F.col("__rate") < cfg.most_copies)).cast("int")
         rows = done.select("__n", "__p", copies.alias("copies"), free.alias("free"))
         p = [F.col("__p")[d] for d in range(k)]
         sums = rows.agg(*[total(p[i] * F.col("copies")).alias(f"e{i}") for i in range(k)], *[total(p[i] * p[j] * F.col("free")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
         totals = [sums[f"e{i}"] for i in range(k)]
         x, away = _distance(totals, list(fit.weights), cfg)
+        away = max(away, 0.95 - sum(totals) / max(sum(fit.expected), 1e-12))  # nor is a draw that loses many tokens the fit keeps
         if away < nearest:
             best, nearest = replace(fit, drawn=tuple(totals)), away
         if away <= cfg.tolerance:
@@ -334,6 +346,8 @@ def _drawn(done: DataFrame, fit: MixFit, total, cfg: MixConfig) -> MixFit:
         project = np.eye(k) - (np.outer(fit.weights, np.ones(k)) if cfg.budget is None else 0.0)
         scale = np.array([max(w, 1e-6) for w in fit.weights])[:, None]
         step = np.linalg.lstsq(project @ g / scale, -np.array(x)[:, None] / scale, rcond=1e-6)[0][:, 0]
+        step *= min(1.0, 0.25 / max(1e-12, float(np.abs(step).max())))  # few documents: many steps fit none
+        step *= 1.0 if number < 3 else 0.5  # one long document may come and go with whole steps
         fit = replace(fit, offsets=tuple(float(a + b) for a, b in zip(fit.offsets, step, strict=True)))
     return best
 

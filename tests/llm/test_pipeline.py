@@ -16,6 +16,7 @@ def test_stages(spark, sf):
             assert after.columns == docs.columns, name
             assert after.exceptAll(before).isEmpty(), name
             ids = {r.doc_id for r in after.collect()}
+            assert ids, name
         if k == 0:
             assert ids == {r.doc_id for r in quality.judge(before).where("kept").collect()}
         elif k == 1:
