@@ -375,7 +375,6 @@ def resample(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), i
     n, p, often = free_names(docs.columns, "__n", "__p", "__copies")
     marked = with_posteriors(docs, model, cfg, text_col, (n, p))
     copies = _once(F.col(p), lambda x: fit.copies(fit.rate(x, cfg), x, draw_key(F.col(id_col), F.col(text_col), cfg), cfg))
+    # a generator, not a filter: that would be pushed below the posteriors and evaluate them again for its condition
     names = [F.col(f"`{c}`") for c in docs.columns]
-    if cfg.most_copies <= 1:
-        return marked.where(copies > 0).select(*names)
-    return marked.withColumn(often, copies).where(F.col(often) > 0).select(*names, F.explode(F.sequence(F.lit(1), F.col(often))).alias(often)).select(*names)
+    return marked.select(*names, F.explode(F.array_repeat(F.lit(True), copies)).alias(often)).select(*names)

@@ -66,3 +66,9 @@ def test_clean_documents_stay_where_targets_cannot_be_met(spark):
     done, fit = mixing.fit_rates(spark.createDataFrame(rows, "doc_id long, __n long, __p array<double>, __u double"))
     rates = done.collect()
     assert min(r["__rate"] for r in rates if r.doc_id % 10) == 1.0 and max(r["__rate"] for r in rates if r.doc_id % 10 == 0) < 0.3
+
+
+def test_resample_splits_a_text_once(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    plan = mixing.resample(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "Filter" not in plan
