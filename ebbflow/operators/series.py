@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hours_since
+from ..functions.scalars import hours_since, round_scaled
 
 
 def hourly_series(df: DataFrame, key: str, ts: str, value: str, places: int = 6) -> DataFrame:
     """Mean value per key and hour."""
-    return df.groupBy(F.col(key).alias("port"), F.date_trunc("HOUR", F.col(ts)).cast("timestamp_ntz").alias("datetime_ist")).agg(F.round(F.avg(value), places).alias("height_m"))
+    return df.groupBy(F.col(key).alias("port"), F.date_trunc("HOUR", F.col(ts)).cast("timestamp_ntz").alias("datetime_ist")).agg(round_scaled(F.avg(value), places).alias("height_m"))
 
 
 def keep_first(df: DataFrame, keys: list[Column], value: Column, order: Column) -> DataFrame:
