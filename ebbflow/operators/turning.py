@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MOON_EPOCH, SYNODIC_MONTH_DAYS, clip, cyclic, micros_between, shift_micros, to_utc, vertex
+from ..functions.scalars import MOON_EPOCH, SYNODIC_MONTH_DAYS, clip, cyclic, micros_between, round_scaled, shift_micros, to_utc, vertex
 from .series import neighbours
 
 STATES = ("High", "Low")
@@ -26,7 +26,7 @@ def turning_points(series: DataFrame, bucket: str | None = None, places: int = 4
     offset, height = vertex(p, c, f)
     found = n.where(f.isNotNull()).withColumn("state", state).where(F.col("state").isNotNull())
     at = F.when(first, F.col("datetime_ist")).otherwise(shift_micros(F.col("datetime_ist"), F.round(offset * 3_600_000).cast("long") * 1000))
-    return found.select("port", "state", at.alias("datetime_ist"), F.round(F.when(first, c).otherwise(height), places).alias("height_m"), first.alias("is_boundary_estimate"))
+    return found.select("port", "state", at.alias("datetime_ist"), round_scaled(F.when(first, c).otherwise(height), places).alias("height_m"), first.alias("is_boundary_estimate"))
 
 
 def event_frequency(events: DataFrame, with_utc: bool = False) -> DataFrame:

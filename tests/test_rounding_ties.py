@@ -46,3 +46,8 @@ def test_hourly_mean(spark, ties):
 
 def test_state_alternation(spark, ties):
     same_rows(spark, ties, "state_alternation", "click")
+
+
+def test_turning_points(spark, ties):
+    same_rows(spark, ties, "turning_points", "click")
+    assert any(31.5184 in r for r in same_rows(spark, ties, "turning_points", "view"))
