@@ -51,3 +51,7 @@ def test_state_alternation(spark, ties):
 def test_turning_points(spark, ties):
     same_rows(spark, ties, "turning_points", "click")
     assert any(31.5184 in r for r in same_rows(spark, ties, "turning_points", "view"))
+
+
+def test_calibrated_identity(spark, ties):
+    same_rows(spark, ties, "calibrated_identity", "click")
