@@ -158,7 +158,7 @@ SELECT port, state, datetime_ist, CASE WHEN state = 'High' THEN 1.0 ELSE 0.0 END
   round(date_diff('microsecond', TIMESTAMP '2000-01-01', datetime_ist) / 1e6 / (365.25 * 86400.0), 6) AS elapsed_years FROM x""")
 def event_features(spark, sf_dir):
     out = turning.event_features(turning.turning_points(hourly(spark, sf_dir)))
-    return out.select("port", "state", "datetime_ist", *[F.round(c, 7 if c.endswith("interval") else 6).alias(c) for c in turning.FEATURE_NAMES])
+    return out.select("port", "state", "datetime_ist", *[S.round_scaled(F.col(c), 7 if c.endswith("interval") else 6).alias(c) for c in turning.FEATURE_NAMES])
 
 
 _CYC = ", ".join(f"round({f}({x} * (2 * pi() / {p})), 5) AS {n}_{f}" for n, x, p in (("hour", "hour(datetime_ist)", "24.0"), ("doy", "dayofyear(datetime_ist)", "365.25"), ("month", "month(datetime_ist)", "12.0")) for f in ("sin", "cos"))

@@ -28,6 +28,9 @@ def ties(sf, tmp_path_factory):
     # a parabola whose vertex is 31.51835 high
     for k, v in enumerate([28.62, 30.3, 16.23, 20.0]):
         db.execute("INSERT INTO e VALUES (?, ?, 1, 'view', ?, '{}')", [100 + k, datetime(2024, 1, 1) + timedelta(hours=k), v])
+    # an event 24.0499025 years after 2000
+    for k, v in enumerate([35.49, 5.93, 7.64]):
+        db.execute("INSERT INTO e VALUES (?, ?, 1, 'error', ?, '{}')", [200 + k, datetime(2024, 1, 19, 4) + timedelta(hours=k), v])
     db.execute(f"COPY (SELECT * FROM e ORDER BY event_id) TO '{at}/events.parquet' (FORMAT parquet)")
     return str(at)
 
@@ -55,3 +58,8 @@ def test_turning_points(spark, ties):
 
 def test_calibrated_identity(spark, ties):
     same_rows(spark, ties, "calibrated_identity", "click")
+
+
+def test_event_features(spark, ties):
+    same_rows(spark, ties, "event_features", "click")
+    assert any(24.049903 in r for r in same_rows(spark, ties, "event_features", "error"))
