@@ -63,3 +63,8 @@ def test_calibrated_identity(spark, ties):
 def test_event_features(spark, ties):
     same_rows(spark, ties, "event_features", "click")
     assert any(24.049903 in r for r in same_rows(spark, ties, "event_features", "error"))
+
+
+@pytest.mark.parametrize("port", ["click", "view"])
+def test_turning_points_bucketed(spark, ties, port):
+    same_rows(spark, ties, "turning_points_bucketed", port)
