@@ -9,12 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hours_since, round_scaled
+from ..functions.scalars import divide, hours_since, round_scaled
 
 
-def hourly_series(df: DataFrame, key: str, ts: str, value: str, places: int = 6) -> DataFrame:
-    """Mean value per key and hour."""
-    return df.groupBy(F.col(key).alias("port"), F.date_trunc("HOUR", F.col(ts)).cast("timestamp_ntz").alias("datetime_ist")).agg(round_scaled(F.avg(value), places).alias("height_m"))
+def hourly_series(df: DataFrame, key: str, ts: str, value: str, places: int = 6, part: str | None = None) -> DataFrame:
+    """Mean value per key and hour.
+
+    part: a column that numbers pieces of the input which no task boundary cuts (row groups). Each piece is then
+    summed by itself in row order and the sums are added by number, so that splits, cores and the order of
+    shuffled blocks don't decide the last bit of a mean, which decides where it lies halfway between two decimals.
+    """
+    keys = [F.col(key).alias("port"), F.date_trunc("HOUR", F.col(ts)).cast("timestamp_ntz").alias("datetime_ist")]
+    if part is None:
+        return df.groupBy(*keys).agg(round_scaled(F.avg(value), places).alias("height_m"))
+    pieces = df.groupBy(*keys, part).agg(F.sum(F.col(value).cast("double")).alias("__sum"), F.count(value).alias("__n"))
+    total = F.aggregate(F.sort_array(F.collect_list(F.struct(part, "__sum"))), F.lit(0.0), lambda a, x: a + F.coalesce(x["__sum"], F.lit(0.0)))
+    whole = pieces.groupBy("port", "datetime_ist").agg(total.alias("__total"), F.sum("__n").alias("__n"))
+    return whole.select("port", "datetime_ist", round_scaled(divide(F.col("__total"), F.col("__n")), places).alias("height_m"))
 
 
 def keep_first(df: DataFrame, keys: list[Column], value: Column, order: Column) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import extraction, harmonic, metrics, peaks, residual, series, turning
 from ..session import ship
+from ..sources import io
 from . import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.hourly_series(table(spark, sf_dir, "events"), "event_type", "ts", "value")
+def hourly(spark: SparkSession, sf_dir: str, rows: str = "true") -> DataFrame:
+    """Hourly means of the events that ``rows`` keeps, summed by row group where there are several."""
+    e = table(spark, sf_dir, "events")
+    groups = io.row_groups(e)
+    if len(groups) < 2:
+        return series.hourly_series(e.where(rows), "event_type", "ts", "value")
+    return series.hourly_series(io.with_row_group(e, groups).where(rows), "event_type", "ts", "value", part="row_group")
 
 
 def persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +111,8 @@ def t_hours_axis(spark, sf_dir):
 @query("time_range_filter", f"WITH {_S} SELECT * FROM s WHERE datetime_ist >= TIMESTAMP '2024-01-10' AND datetime_ist < TIMESTAMP '2024-01-17' AND port = 'click'")
 def time_range_filter(spark, sf_dir):
     # the bounds are whole hours, so they hold for raw rows too and prune the scan before the aggregate
-    e = table(spark, sf_dir, "events").where("event_type = 'click' AND ts >= TIMESTAMP_NTZ '2024-01-10' AND ts < TIMESTAMP_NTZ '2024-01-17'")
-    return series.time_range(series.hourly_series(e, "event_type", "ts", "value"), "2024-01-10", "2024-01-17")
+    h = hourly(spark, sf_dir, "event_type = 'click' AND ts >= TIMESTAMP_NTZ '2024-01-10' AND ts < TIMESTAMP_NTZ '2024-01-17'")
+    return series.time_range(h, "2024-01-10", "2024-01-17")
 
 
 _BLOCKS = f"""b AS (SELECT port, datetime_ist, sum(gap) OVER (PARTITION BY port ORDER BY datetime_ist ROWS UNBOUNDED PRECEDING)::BIGINT AS block_id FROM

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +82,45 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def row_groups(df: DataFrame) -> list[tuple[str, int, int]]:
+    """(file, first row, row after the last) of every filled Parquet row group, by file name and place.
+
+    Footers are read through Spark's file systems, 16 at a time.
+    """
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+
+    def of_file(uri: str) -> list[tuple[str, int, int]]:
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
+        try:
+            counts = [b.getRowCount() for b in reader.getRowGroups()]
+        finally:
+            reader.close()
+        name = jvm.org.apache.hadoop.fs.Path(at.toString()).toUri().toString()  # as in _metadata.file_path
+        return [(name, end - n, end) for n, end in zip(counts, accumulate(counts), strict=True) if n]
+
+    with ThreadPoolExecutor(16) as pool:
+        return sorted(g for found in pool.map(of_file, df.inputFiles()) for g in found)
+
+
+def with_row_group(df: DataFrame, groups: list[tuple[str, int, int]]) -> DataFrame:
+    """The rows of a Parquet table with ``row_group``, their group's number in ``groups``.
+
+    Groups are found by file and by stretches of their mean length, at most twice as many as groups. A row of a file
+    that isn't named there stays, without a number.
+    """
+    import pyarrow as pa
+
+    width = max(1, sum(end - first for _, first, end in groups) // len(groups))
+    cut = [(file, stretch, first, end, k) for k, (file, first, end) in enumerate(groups) for stretch in range(first // width, (end - 1) // width + 1)]
+    names = ["__file", "__stretch", "__first", "__end", "row_group"]
+    bounds = df.sparkSession.createDataFrame(pa.table(dict(zip(names, zip(*cut, strict=True), strict=True))))
+    row = F.col("__row")
+    placed = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    on = (F.col("__path") == F.col("__file")) & (F.floor(row / width) == F.col("__stretch")) & (row >= F.col("__first")) & (row < F.col("__end"))
+    return placed.join(F.broadcast(bounds), on, "left").select(*df.columns, "row_group")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)  # summaries: a row per port
 

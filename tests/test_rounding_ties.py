@@ -6,6 +6,8 @@ from datetime import datetime, timedelta
 
 import compare
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from ebbflow.plans import catalog
@@ -68,3 +70,51 @@ def test_event_features(spark, ties):
 @pytest.mark.parametrize("port", ["click", "view"])
 def test_turning_points_bucketed(spark, ties, port):
     same_rows(spark, ties, "turning_points_bucketed", port)
+
+
+@pytest.fixture(scope="module")
+def groups(sf, tmp_path_factory):
+    """(tables, the same with a reading an hour): events in two equal row groups, and the means of their sums by group.
+
+    An hour of 32 readings has 8.2128125 on average: added in one go it rounds down, by group up.
+    """
+    path = tmp_path_factory.mktemp("row groups") / "100%"
+    path.mkdir()
+    r = random.Random(8)
+    hours = [[23.43], [r.randrange(0, 2000) / 100 for _ in range(32)], [21.49], [20.0], [25.0]]
+    rows = [(datetime(2024, 1, 1, h, k), v) for h, values in enumerate(hours) for k, v in enumerate(values)]
+    whole, means = path / "whole", path / "means"
+    for at, ts, values in ((whole, [t for t, _ in rows] * 2, [v for _, v in rows] * 2), (means, [datetime(2024, 1, 1, h) for h in range(5)], [(total(v) + total(v)) / (2 * len(v)) for v in hours])):
+        at.mkdir()
+        for t in compare.TABLES:
+            if t != "events":
+                os.symlink(f"{sf}/{t}.parquet", at / f"{t}.parquet")
+        n = len(ts)
+        events = pa.table({"event_id": range(n), "ts": pa.array(ts, pa.timestamp("us")), "user_id": [1] * n, "event_type": ["click"] * n, "value": values, "props": ["{}"] * n})
+        pq.write_table(events, at / "events.parquet", row_group_size=len(rows))
+    return str(whole), str(means)
+
+
+def total(values):
+    out = 0.0
+    for v in values:
+        out += v
+    return out
+
+
+def same_in_any_split(spark, groups, name):
+    """The query's rows by splits of one and of two row groups, equal to its SQL on the means by group."""
+    whole, means = groups
+    expected = compare.sql_rows(means, catalog.SQL[name])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "800b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert compare.spark_rows(catalog.QUERIES[name](spark, whole)) == expected and expected[1]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return expected[1]
+
+
+def test_calibrated_identity_by_row_group(spark, groups):
+    same_in_any_split(spark, groups, "calibrated_identity")
