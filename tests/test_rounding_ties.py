@@ -118,3 +118,7 @@ def same_in_any_split(spark, groups, name):
 
 def test_calibrated_identity_by_row_group(spark, groups):
     same_in_any_split(spark, groups, "calibrated_identity")
+
+
+def test_turning_points_bucketed_by_row_group(spark, groups):
+    assert any("2024-01-01T01:02:02.551000" in r for r in same_in_any_split(spark, groups, "turning_points_bucketed"))
